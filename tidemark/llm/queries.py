@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, quality_rules, secrets, simhash
+from . import bpe, chat, html_extract, language_id, mixing, quality_model, quality_rules, secrets, simhash, topk
 from .common import table
 
 
@@ -33,10 +34,50 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_bpe, op5_secrets, op7_simhash)}
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "</s>[INST] ok [/INST]"
+    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chat.digests(chat.format_records(chat.conversation_records(rows)))
+
+
+#: Target weights of the sources in the query and the pipeline, in parts of their sum; others get 1.
+MIX_WEIGHTS = {"src0": 8, "src1": 6, "src2": 6, "src3": 5, "src4": 5, "src5": 4, "src6": 4, "src7": 4, "src8": 3, "src9": 3, "src10": 3, "src11": 2, "src12": 2, "src13": 2}
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs, MIX_WEIGHTS)
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
+def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rated = docs.select("doc_id", "text").join(labels.select("doc_id", quality_model.grade(F.col("quality"), F.col("toxic")).alias("grade")), "doc_id")
+    return quality_model.rate(docs, quality_model.fit(rated, 3))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    found = language_id.predict(docs, model)
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_chat, op2_mixing, op3_quality_rules, op4_bpe, op5_secrets, op6_html, op7_simhash, op8_topk, op9_quality_model, op10_language_id)
+}
 
 ORACLE_SQL: dict[str, str] = {}

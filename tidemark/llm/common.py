@@ -15,16 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` stored in the folder all executors share, with its lineage cut.
-
-    The folder is ``spark.checkpoint.dir``; only where the session has none (as in tests) a
-    folder of this machine is taken.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that all executors share: ``spark.checkpoint.dir``, or where the session has none (as
+    in tests) one of this machine."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        given = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` stored in the folder all executors share, with its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

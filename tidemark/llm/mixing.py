@@ -109,3 +109,9 @@ def mix(docs: DataFrame, weights: Mapping[str, int], default: int = 1, block_row
     named = docs.withColumns(key)
     same = (named.mix_source == placed.mix_source) & named.mix_id.eqNullSafe(placed.mix_id) & (named.mix_tie == placed.mix_tie)
     return named.join(placed, same).select(*[named[f"`{c}`"] for c in docs.columns], placed.mix_slot, placed.mix_place)
+
+
+def mixed_documents(docs: DataFrame, weights: Mapping[str, int]) -> DataFrame:
+    """The rows of ``docs``, with its columns, sorted into the mixture's order."""
+    mixed = mix(docs, weights, text_col="text")
+    return mixed.orderBy("mix_slot", "mix_place").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -55,15 +55,16 @@ def fingerprint(text: str | None, size: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """``(id, fp)`` of each row; ``fp`` is the fingerprint as a signed long."""
+    """``(id, h, fp)`` of each row: a hash of the text, and the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t, size) for t in b.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            fps = np.array([fingerprint(t, size) for t in b.column(2).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], names=["id", "h", "fp"])
 
-    own = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    return own.mapInArrow(run, "id long, fp long")
+    text = docs[text_col].cast("string")
+    own = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    return own.mapInArrow(run, "id long, h long, fp long")
 
 
 def _bit_groups(nodes: DataFrame) -> list[list[int]]:
@@ -214,6 +215,15 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, tau: int = 2) -> DataFrame:
+    """``(id, h, fp, root)`` of each row; ``root`` is the smallest fingerprint of its component."""
+    fps = checkpointed(fingerprints(docs, id_col, text_col, size))
+    nodes = checkpointed(fps.select("fp").distinct())
+    roots = components(links(nodes, tau))
+    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return fps.join(named, "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, tau: int = 2) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``, a row for each row of ``docs``.
 
@@ -221,12 +231,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts are one node. ``component_id`` is the smallest non-null id reachable, null if there is
     none. Other columns of ``docs``, whatever their names, are not read.
     """
-    fps = checkpointed(fingerprints(docs, id_col, text_col, size))
-    nodes = checkpointed(fps.groupBy("fp").agg(F.min("id").alias("low")))
-    roots = components(links(nodes, tau))
-    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = named.join(lowest, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select(
-        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    rows = grouped(docs, id_col, text_col, size, tau)
+    lowest = rows.groupBy("root").agg(F.min("id").alias("component_id"))
+    return rows.join(lowest, "root").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, tau: int = 2) -> DataFrame:
+    """One row of each component of ``docs``: that with the smallest id, nulls last, and of rows
+    with that id the one whose text has the smallest hash. Columns are those of ``docs``."""
+    id_type = docs.schema[id_col].dataType
+    rows = grouped(docs, id_col, text_col, size, tau)
+    best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h")).alias("best")
+    ones = rows.groupBy("root").agg(best).select(F.col("best.id").alias("one_id"), F.col("best.h").alias("one_h"))
+    keyed = docs.withColumns({"row_id": docs[id_col].cast("long"), "row_h": F.xxhash64(docs[text_col].cast("string"))})
+    kept = keyed.join(ones, keyed.row_id.eqNullSafe(ones.one_id) & (keyed.row_h == ones.one_h), "left_semi")
+    # equal rows come in copies, of which one stays
+    kept = kept.dropDuplicates(["row_id", "row_h"])
+    return kept.select(*[F.col(f"`{c}`") if c != id_col else F.col(f"`{c}`").cast(id_type) for c in docs.columns])

@@ -1,12 +1,63 @@
-"""The corpus pipeline: quality rules, near-duplicates, secrets, mixing, tokens."""
+"""The corpus pipeline: quality rules, near-duplicates, secrets, mixing, tokens.
+
+Each stage takes ``(spark, docs, sf_dir)`` and works on all rows its predecessor kept. Stages are
+written as Parquet and read again, so a lost executor repeats one stage's tasks at most.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from tidemark.llm import bpe, mixing, quality_rules, secrets, simhash
+from tidemark.llm.common import shared_folder, table
+from tidemark.llm.queries import MIX_WEIGHTS, tokenizer_file
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go, failing lines of the others too."""
+    return quality_rules.kept_documents(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return simhash.deduplicated(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked."""
+    return secrets.masked_documents(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows are sorted so that every stretch has the sources' target weights."""
+    return mixing.mixed_documents(docs, MIX_WEIGHTS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and the digests of ids and decoded texts."""
+    return bpe.token_digests(docs, tokenizer_file())
+
+
+STAGES = [("quality_rules", quality), ("near_dedup", near_duplicates), ("secret_scan", secret_scan), ("mixing", mix), ("bpe", tokens)]
+#: Lines, fingerprints, structure and tokens are beyond SQL; tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over ``documents``; what lies between them is in the shared folder."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            _delete(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -34,7 +34,7 @@ def _count(text: Column, pattern_of_rest: str) -> Column:
 
 
 def _repeat_words(words: Column, size: int = 8) -> Column:
-    """Words within a window of ``size`` words that the text has twice or more.
+    """Words within a window of ``size`` words (a power of two) that the text has twice or more.
 
     Windows are compared by a 64-bit hash. Only a text with a repeated hash sorts its windows.
     """
@@ -56,23 +56,34 @@ def _repeat_words(words: Column, size: int = 8) -> Column:
         )
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(F.sort_array(twice), covered))
 
-    windows = F.transform(F.sequence(F.lit(1), F.size(words) - (size - 1)), lambda i: F.xxhash64(F.slice(words, i, size)))
-    return F.when(F.size(words) <= size, F.lit(0)).otherwise(let(windows, repeated)).cast("long")
+    def windows(hashes: Column, reach: int) -> Column:
+        """Hashes of windows of ``size`` from those of windows of ``reach``, by doubling; the last ones are short."""
+        if reach == size:
+            return let(F.slice(hashes, F.lit(1), F.size(hashes) - (size - 1)), repeated)
+        moved = F.slice(hashes, F.lit(1 + reach), F.size(hashes))
+        return let(F.zip_with(hashes, moved, lambda a, b: F.xxhash64(a, b)), lambda h: windows(h, 2 * reach))
+
+    single = F.transform(words, lambda w: F.xxhash64(w))
+    return F.when(F.size(words) <= size, F.lit(0)).otherwise(let(single, lambda h: windows(h, 1))).cast("long")
 
 
 def line_fails(line: Column) -> Column:
-    """True for a line that the noise, shouting, navigation, boilerplate or stutter rules remove."""
+    """True for a line that the noise, shouting, navigation, boilerplate or stutter rules remove.
+
+    Each rule begins with a cheap test that most lines fail.
+    """
     chars = _count(line, f"[{SPACE}]+")
     symbols = _count(line, r"[^#*$%&|<>{}~^=\\]+")
     upper, lower = _count(line, r"[^\p{Lu}]+"), _count(line, r"[^\p{Ll}]+")
+    noise = (F.length(line) >= 20) & line.rlike(r"[#*$%&|<>{}~^=\\]") & (symbols * 100 > chars * 12) & (chars >= 20)
+    loud = line.contains("!!") | line.contains("??")
+    shouting = loud & (F.size(F.split(line, "[!?]{2,}")) > 3) & (upper + lower >= 20) & (upper * 100 > (upper + lower) * 70)
     separators = F.size(F.split(line, r" ?[|»›•·] ?")) - 1
-    low = F.lower(line)
-    noise = (chars >= 20) & (symbols * 100 > chars * 12)
-    shouting = (upper + lower >= 20) & (upper * 100 > (upper + lower) * 70) & (F.size(F.split(line, "[!?]{2,}")) > 3)
-    menu = (separators >= 3) & (separators * 30 > chars - separators) | F.trim(low).isin(*NAVIGATION)
-    boilerplate = (F.length(line) <= 300) & low.rlike("|".join(BOILERPLATE))
+    labels = line.rlike("[|»›•·]") & (separators >= 3) & (separators * 30 > chars - separators)
+    menu = labels | (F.length(line) <= 20) & F.trim(F.lower(line)).isin(*NAVIGATION)
+    boilerplate = (F.length(line) <= 300) & F.lower(line).rlike(r"\b(?:" + "|".join(BOILERPLATE) + ")")
     unstuttered = F.regexp_replace(line, r"(?<!\S)(\S+)(?: \1){2,}(?!\S)", "")
-    stutter = (chars >= 20) & (F.length(unstuttered) * 2 < F.length(line))
+    stutter = (F.length(line) >= 24) & (F.length(unstuttered) * 2 < F.length(line))
     return noise | shouting | menu | boilerplate | stutter
 
 

@@ -193,7 +193,7 @@ def links(nodes: DataFrame, tau: int = 2, hot: int = BITS) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``(node, root)`` of each node in an edge ``(a, b)``; the root is the component's smallest node.
+    """``(node, root)`` of each node in an edge ``(a, b)`` but the roots; a component's root is its smallest node.
 
     Large-star hangs each larger neighbour on a node's smallest one, small-star each smaller one;
     both until nothing changes. Minima are summed up before the shuffle and joined back, so a

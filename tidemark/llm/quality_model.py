@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 
 BINS = 1 << 18
 _TOKEN = regex.compile(r"\p{L}+|[^\s\p{L}\p{N}]+")
-_SHOUT, _PAIR = crc32(b"shout") % BINS, crc32(b"pair") % BINS
+_SHOUT, _PAIR, _NOISE = (crc32(b"trait " + x) % BINS for x in (b"shout", b"pair", b"noise"))
 
 
 def features(text: str) -> np.ndarray:
-    """The sorted bins of a text's tokens: lower-cased words, runs of other signs, and two traits:
-    many words in capitals, and many words said again at once."""
+    """The sorted bins of a text's tokens: lower-cased words, runs of other signs, and three traits:
+    many words in capitals, many words said again at once, and many signs other than punctuation."""
     tokens = _TOKEN.findall(text)
     words = [t for t in tokens if t[0].isalpha()]
     bins = {crc32(t.encode("utf-8", "surrogatepass")) % BINS for t in set(map(str.lower, tokens))}
@@ -33,6 +33,8 @@ def features(text: str) -> np.ndarray:
             bins.add(_SHOUT)
         if sum(a == b for a, b in zip(words, words[1:], strict=False)) * 5 > len(words):
             bins.add(_PAIR)
+        if sum(not t[0].isalpha() and t[-1] not in ".,;:'-)" for t in tokens) * 4 > len(words):
+            bins.add(_NOISE)
     return np.array(sorted(bins), dtype=np.int32)
 
 
@@ -57,8 +59,9 @@ class Model:
 def fit_sample(rows: list[np.ndarray], grades: np.ndarray, grades_n: int, l2: float = 1.0, least_z: float = 5.0, rounds: int = 300) -> Model:
     """Fits bins that tell grades apart, by gradient steps on the likelihood with an L2 penalty.
 
-    A bin takes part if its share among some grade's texts lies ``least_z`` standard errors or more
-    from its share among all.
+    A bin takes part if its share among the texts of some grade below the top lies ``least_z``
+    standard errors or more over its share among all: common words of long texts are then no
+    evidence for a good grade that would outweigh signs of a bad one.
     """
     n = np.maximum(np.bincount(grades, minlength=grades_n), 1).astype(float)
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
@@ -66,8 +69,8 @@ def fit_sample(rows: list[np.ndarray], grades: np.ndarray, grades_n: int, l2: fl
     seen = np.zeros((grades_n, BINS))
     np.add.at(seen, (of, flat), 1)
     p = (seen.sum(axis=0) + 0.5) / (n.sum() + 1)
-    z = np.abs(seen - n[:, None] * p) / np.sqrt(n[:, None] * p * (1 - p) + 0.5)
-    bins = np.flatnonzero(z.max(axis=0) >= least_z).astype(np.int32)
+    z = (seen - n[:, None] * p) / np.sqrt(n[:, None] * p * (1 - p) + 0.5)
+    bins = np.flatnonzero(z[:-1].max(axis=0) >= least_z).astype(np.int32)
     # a sparse matrix by (row, column) pairs
     where = np.concatenate([np.full(len(r), i) for i, r in enumerate(rows)]) if rows else np.zeros(0, int)
     column = np.searchsorted(bins, flat)
@@ -102,7 +105,7 @@ def fit_sample(rows: list[np.ndarray], grades: np.ndarray, grades_n: int, l2: fl
     return Model(bins, w, np.concatenate(([first], first + np.cumsum(np.exp(gaps)))))
 
 
-def fit(rated: DataFrame, grades_n: int, text_col: str = "text", grade_col: str = "grade", max_docs: int = 16_000, **options) -> Model:
+def fit(rated: DataFrame, grades_n: int, text_col: str = "text", grade_col: str = "grade", max_docs: int = 40_000, **options) -> Model:
     """Fits on rows with a grade and a text. Of more than ``max_docs`` such rows, a share of about
     that many is taken by a hash of the text; only their bins come to the driver."""
     known = rated.select(F.col(text_col).cast("string").alias("text"), F.col(grade_col).cast("int").alias("grade"))

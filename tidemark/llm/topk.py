@@ -46,7 +46,7 @@ class Block:
         n, dims = self.x.shape
         up = query < 0  # for these the least values score highest
         depth, seen_at = 8, None
-        while depth * dims * 2 < n:
+        while 0 < depth * dims * 2 < n:
             top = np.where(up, self.lists[:depth], self.lists[n - depth :][::-1])
             rows = np.unique(top[:, query != 0])
             rows = rows[self.ids[rows] != query_id]

@@ -80,4 +80,24 @@ QUERIES = {
     for f in (op1_chat, op2_mixing, op3_quality_rules, op4_bpe, op5_secrets, op6_html, op7_simhash, op8_topk, op9_quality_model, op10_language_id)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: SQL for the operators whose whole result SQL can express; tests hold the others against plain Python.
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat": """
+with rows as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+sized as (select *, role || chr(10) || text || chr(10) as shown, list_sum(list_transform(['\\', '<|', '<s>', '</s>', '[INST]', '[/INST]'],
+    lambda c: (length(role || ' ' || text) - length(replace(role || ' ' || text, c, ''))) // length(c))) as escapes from rows)
+select conv_id, count(*) as n_turns, sha256(string_agg(shown, '' order by turn, role, text)) as turns_sha256,
+    coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by turn, text) filter (role = 'assistant'), '')) as loss_sha256,
+    sum(length(role) + length(text) + escapes + 32)::bigint as formatted_chars
+from sized group by conv_id""",
+    "op8_topk": """
+with v as (select distinct vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as x from embeddings
+    where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.x::double[], c.x::double[])::bigint as score
+    from v q join v c on q.vec_id <> c.vec_id and len(q.x) = len(c.x) where q.vec_id % 50 = 0),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 5""",
+}

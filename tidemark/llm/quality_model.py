@@ -64,18 +64,20 @@ def fit_sample(rows: list[np.ndarray], grades: np.ndarray, grades_n: int, l2: fl
     evidence for a good grade that would outweigh signs of a bad one.
     """
     n = np.maximum(np.bincount(grades, minlength=grades_n), 1).astype(float)
+    lengths = np.array([len(r) for r in rows], dtype=np.int64)
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-    of = np.repeat(grades, [len(r) for r in rows])
-    seen = np.zeros((grades_n, BINS))
-    np.add.at(seen, (of, flat), 1)
+    of = np.repeat(grades.astype(np.int8), lengths)
+    seen = np.array([np.bincount(flat[of == g], minlength=BINS) for g in range(grades_n)], dtype=float)
     p = (seen.sum(axis=0) + 0.5) / (n.sum() + 1)
     z = (seen - n[:, None] * p) / np.sqrt(n[:, None] * p * (1 - p) + 0.5)
     bins = np.flatnonzero(z[:-1].max(axis=0) >= least_z).astype(np.int32)
-    # a sparse matrix by (row, column) pairs
-    where = np.concatenate([np.full(len(r), i) for i, r in enumerate(rows)]) if rows else np.zeros(0, int)
-    column = np.searchsorted(bins, flat)
-    has = (column < len(bins)) & (bins[np.minimum(column, max(0, len(bins) - 1))] == flat) if len(bins) else np.zeros(len(flat), bool)
-    where, column = where[has].astype(np.int64), column[has]
+    # a sparse matrix of the bins that take part, by (row, column) pairs
+    place = np.full(BINS, -1, dtype=np.int32)
+    place[bins] = np.arange(len(bins))
+    column = place[flat]
+    has = column >= 0
+    where, column = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)[has], column[has]
+    del flat, of, has, seen
     below = np.clip(np.cumsum(n)[:-1] / n.sum(), 1e-3, 1 - 1e-3)
     first, gaps = np.log(below[0] / (1 - below[0])), np.log(np.maximum(np.diff(np.log(below / (1 - below))), 1e-2))
     w = np.zeros(len(bins))
@@ -105,7 +107,7 @@ def fit_sample(rows: list[np.ndarray], grades: np.ndarray, grades_n: int, l2: fl
     return Model(bins, w, np.concatenate(([first], first + np.cumsum(np.exp(gaps)))))
 
 
-def fit(rated: DataFrame, grades_n: int, text_col: str = "text", grade_col: str = "grade", max_docs: int = 40_000, **options) -> Model:
+def fit(rated: DataFrame, grades_n: int, text_col: str = "text", grade_col: str = "grade", max_docs: int = 20_000, **options) -> Model:
     """Fits on rows with a grade and a text. Of more than ``max_docs`` such rows, a share of about
     that many is taken by a hash of the text; only their bins come to the driver."""
     known = rated.select(F.col(text_col).cast("string").alias("text"), F.col(grade_col).cast("int").alias("grade"))

@@ -107,6 +107,16 @@ def fit_sample(rows: list[np.ndarray], grades: np.ndarray, grades_n: int, l2: fl
     return Model(bins, w, np.concatenate(([first], first + np.cumsum(np.exp(gaps)))))
 
 
+def sampled(grades: DataFrame, max_docs: int = 20_000) -> DataFrame:
+    """Of more than ``max_docs`` rows with a grade, about that many, by a hash of the row, and never
+    over twice as many: a table of bounded size, to be joined to texts by broadcasting it."""
+    known = grades.where(F.col("grade").isNotNull())
+    n = known.count()
+    if n > max_docs:
+        known = known.where(F.pmod(F.xxhash64(*known.columns), F.lit(1_000_003)) < int(1_000_003 * max_docs / n))
+    return known.limit(2 * max_docs)
+
+
 def fit(rated: DataFrame, grades_n: int, text_col: str = "text", grade_col: str = "grade", max_docs: int = 20_000, **options) -> Model:
     """Fits on rows with a grade and a text. Of more than ``max_docs`` such rows, a share of about
     that many is taken by a hash of the text; only their bins come to the driver."""

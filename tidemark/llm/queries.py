@@ -64,7 +64,8 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    rated = docs.select("doc_id", "text").join(labels.select("doc_id", quality_model.grade(F.col("quality"), F.col("toxic")).alias("grade")), "doc_id")
+    grades = labels.select("doc_id", quality_model.grade(F.col("quality"), F.col("toxic")).alias("grade"))
+    rated = docs.select("doc_id", "text").join(F.broadcast(quality_model.sampled(grades)), "doc_id")
     return quality_model.rate(docs, quality_model.fit(rated, 3))
 
 

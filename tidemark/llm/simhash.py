@@ -215,13 +215,29 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, tau: int = 2) -> DataFrame:
-    """``(id, h, fp, root)`` of each row; ``root`` is the smallest fingerprint of its component."""
-    fps = checkpointed(fingerprints(docs, id_col, text_col, size))
-    nodes = checkpointed(fps.select("fp").distinct())
-    roots = components(links(nodes, tau))
-    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    return fps.join(named, "fp")
+def _joined(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` with the one row of ``table`` for their ``key``; ``n`` there is how many rows have the key.
+
+    Keys with over a 2000th of all rows are fewer than 2000 and joined by a broadcast, so no key is one task's.
+    """
+    is_hot = F.col("n") * 2000 > total
+    hot, rest = table.where(is_hot).drop("n"), table.where(~is_hot).drop("n")
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(others.join(rest, key))
+
+
+def grouped(fps: DataFrame, tau: int = 2) -> tuple[DataFrame, DataFrame]:
+    """``(fp, root, n)`` of each distinct fingerprint in ``fps`` (``id, h, fp``), and ``(root, best, n)`` of each component.
+
+    ``root`` is the component's smallest fingerprint, ``best`` its least ``(no_id, id, h)``: the
+    smallest id, nulls last, and the smallest hash with it. ``n`` counts rows and fingerprints.
+    """
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h")).alias("best")
+    nodes = checkpointed(fps.groupBy("fp").agg(first, F.count("*").alias("n")))
+    roots = components(links(nodes.select("fp"), tau))
+    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "best", "n")
+    lowest = named.groupBy("root").agg(F.min("best").alias("best"), F.count("*").alias("n"))
+    return named.select("fp", "root", "n"), lowest
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, tau: int = 2) -> DataFrame:
@@ -231,18 +247,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts are one node. ``component_id`` is the smallest non-null id reachable, null if there is
     none. Other columns of ``docs``, whatever their names, are not read.
     """
-    rows = grouped(docs, id_col, text_col, size, tau)
-    lowest = rows.groupBy("root").agg(F.min("id").alias("component_id"))
-    return rows.join(lowest, "root").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    fps = checkpointed(fingerprints(docs, id_col, text_col, size))
+    named, lowest = grouped(fps, tau)
+    named, lowest = checkpointed(named), checkpointed(lowest.select("root", F.col("best.id").alias("component_id"), "n"))
+    known = checkpointed(_joined(named.withColumnRenamed("n", "rows"), lowest, "root", named.count()).select("fp", "component_id", F.col("rows").alias("n")))
+    rows = _joined(fps.select("id", "fp"), known, "fp", fps.count())
+    return rows.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, tau: int = 2) -> DataFrame:
     """One row of each component of ``docs``: that with the smallest id, nulls last, and of rows
     with that id the one whose text has the smallest hash. Columns are those of ``docs``."""
     id_type = docs.schema[id_col].dataType
-    rows = grouped(docs, id_col, text_col, size, tau)
-    best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h")).alias("best")
-    ones = rows.groupBy("root").agg(best).select(F.col("best.id").alias("one_id"), F.col("best.h").alias("one_h"))
+    _, lowest = grouped(checkpointed(fingerprints(docs, id_col, text_col, size)), tau)
+    ones = lowest.select(F.col("best.id").alias("one_id"), F.col("best.h").alias("one_h"))
     keyed = docs.withColumns({"row_id": docs[id_col].cast("long"), "row_h": F.xxhash64(docs[text_col].cast("string"))})
     kept = keyed.join(ones, keyed.row_id.eqNullSafe(ones.one_id) & (keyed.row_h == ones.one_h), "left_semi")
     # equal rows come in copies, of which one stays

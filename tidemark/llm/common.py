@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpointed, shared_folder
+
+__all__ = ["SPACE", "checkpointed", "let", "shared_folder", "table"]
+
 #: White space between words: the space and the characters 0x09 to 0x0D.
 SPACE = r"\x20\x09-\x0D"
 
@@ -15,21 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A folder that all executors share: ``spark.checkpoint.dir``, or where the session has none (as
-    in tests) one of this machine."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` stored in the folder all executors share, with its lineage cut."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def let(value: Column, body) -> Column:
     """``body(x)`` with ``x`` bound to ``value``, which is then evaluated once per row.
 

@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 
+#: The schedule has a row for each source, which the driver makes and sends to all tasks.
+MAX_SOURCES = 10_000
+
+
 def period(weights: Mapping[str, int]) -> list[str]:
     """The source of each slot of one period, which has as many slots as the weights add up to."""
     total = sum(weights.values())
@@ -72,8 +76,8 @@ def mix(docs: DataFrame, weights: Mapping[str, int], default: int = 1, block_row
     which is a source of its own; a source with a weight of 0 or less comes after all others. In a
     source, rows go by id, nulls first, then by a hash of ``text_col`` if given; rows equal in all
     of these stay together at the place of the first. A slot holds ``block_rows`` rows of one
-    source, its last block perhaps fewer. Columns of ``docs`` named like the two are replaced. The
-    number of sources must be small, as weights by source are.
+    source, its last block perhaps fewer. Columns of ``docs`` named like the two are replaced. More
+    than ``MAX_SOURCES`` sources are an error.
     """
     docs = docs.drop("mix_slot", "mix_place")
     source = F.coalesce(F.concat(F.lit("="), F.col(f"`{source_col}`").cast("string")), F.lit("-"))
@@ -85,7 +89,10 @@ def mix(docs: DataFrame, weights: Mapping[str, int], default: int = 1, block_row
     parts = dealt.groupBy("mix_source", "part").agg(F.sum("n").alias("n"))
     earlier = Window.partitionBy("mix_source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = checkpointed(parts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))))
-    counts = {r["mix_source"]: r["n"] for r in parts.groupBy("mix_source").agg(F.sum("n").alias("n")).collect()}
+    found = parts.groupBy("mix_source").agg(F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()
+    if len(found) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources cannot be scheduled")
+    counts = {r["mix_source"]: r["n"] for r in found}
     given = {s: weights.get(s[1:], default) if s != "-" else default for s in counts}
     blocks = {s: -(-n // block_rows) for s, n in counts.items()}
     plan = phases(given, {s: n for s, n in blocks.items() if given[s] > 0})

@@ -81,7 +81,7 @@ def rewind_target(target: int, safe: int) -> int:
 
 
 def from_position(records: DataFrame, start: int) -> DataFrame:
-    """Records from ``start`` on. A transaction that began before is refused, not emitted in part."""
+    """Records from ``start`` on. Transactions that began before come in part: see ``begun_before``."""
     return records.where(F.col("scn") >= start)
 
 

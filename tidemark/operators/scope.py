@@ -37,9 +37,12 @@ def in_scope(name: Column, include: Sequence[str], exclude: Sequence[str] = ())
 
 
 def matching(names: DataFrame, patterns: DataFrame, name: str = "name", pattern: str = "pattern") -> DataFrame:
-    """Rows whose name matches a pattern of the configured list (a short table) as a whole."""
+    """Rows whose name matches a pattern of the configured list as a whole; over 10,000 patterns are an error."""
+    patterns = patterns.select(pattern).distinct()
+    if patterns.count() > 10_000:
+        raise ValueError("too many patterns")
     whole = F.concat(F.lit("^(?:"), F.col(pattern), F.lit(")$"))
-    return names.join(F.broadcast(patterns.select(pattern).distinct().limit(10_000)), F.rlike(F.col(name), whole), "left_semi")
+    return names.join(F.broadcast(patterns), F.rlike(F.col(name), whole), "left_semi")
 
 
 def mapped_path(path: Column, mappings: Mapping[str, str]) -> Column:

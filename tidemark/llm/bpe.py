@@ -13,13 +13,13 @@ from __future__ import annotations
 import hashlib
 import json
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from functools import cache
 from struct import pack
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 
 def byte_letters() -> dict[str, int]:
@@ -199,13 +199,18 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
     return docs.mapInArrow(run, schema)
 
 
-def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: Mapping[str, Column] | None = None) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of each row: the digests of the ids and of
-    the text decoded from them.
+    the text decoded from them, and the columns of ``keep`` by name.
 
     A null text counts as empty: no tokens, and the digests of nothing. Rows with null or repeated
     ids each get their row. Other columns are not read, so their names do not matter.
     """
+    own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *[c.alias(k) for k, c in (keep or {}).items()])
+    kept = own.schema.names[2:]
+    schema = own.select("doc_id", *kept).schema
+    for name, kind in (("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")):
+        schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, sha = tokenizer(path), hashlib.sha256
@@ -217,9 +222,8 @@ def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 ids_sha.append(sha(ids).hexdigest())
                 text_sha.append(sha(bpe.decode(ids).encode("utf-8")).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                [b.column(0), *b.columns[2:], pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
+                names=schema.names,
             )
 
-    own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return own.mapInArrow(run, schema).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *kept)

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, mixing, quality_rules, secrets, simhash
 from tidemark.llm.common import shared_folder, table
@@ -36,8 +38,23 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and the digests of ids and decoded texts."""
-    return bpe.token_digests(docs, tokenizer_file())
+    """Token counts and the digests of ids and decoded texts, with the rows' places in the mixture.
+
+    Sorted by ``shard`` and ``place``, the number of a file and of a row in it, the result is in the
+    order in which ``docs`` was written. Both are null for ``docs`` that are not read from files.
+    """
+    return bpe.token_digests(docs, tokenizer_file(), keep=_places(docs))
+
+
+def _places(docs: DataFrame) -> dict[str, Column]:
+    """``shard`` and ``place`` of the rows of Parquet files: Spark numbers the files of a sorted result in its order."""
+    try:
+        read = docs.metadataColumn("_metadata")
+        docs.select(read)
+    except AnalysisException:  # rows from elsewhere
+        none = F.lit(None).cast("long")
+        return {"shard": none, "place": none}
+    return {"shard": F.regexp_extract(read["file_name"], r"part-(\d+)", 1).try_cast("long"), "place": read["row_index"]}
 
 
 STAGES = [("quality_rules", quality), ("near_dedup", near_duplicates), ("secret_scan", secret_scan), ("mixing", mix), ("bpe", tokens)]

@@ -31,9 +31,9 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         (2 * e - 40).alias("savepoint_scn"), F.lit(None).cast("string").alias("before"), F.col("props").alias("after"), (block * 8 + lane).alias("txn_no"),
     )
     ends = changes.groupBy("container", "xid").agg(F.max("scn").alias("last"), F.max("txn_no").alias("txn_no"))
-    newest = F.broadcast(ends.agg(F.max("txn_no").alias("newest")))  # one row
-    end = F.when(F.col("txn_no") % 5 == 0, "ROLLBACK").when((F.col("txn_no") % 7 == 0) & (F.col("txn_no") >= F.col("newest") - 16), "OPEN").otherwise("COMMIT")
-    ends = ends.crossJoin(newest).withColumn("op", end).where("op <> 'OPEN'")
+    newest = ends.agg(F.max("txn_no")).scalar()
+    end = F.when(F.col("txn_no") % 5 == 0, "ROLLBACK").when((F.col("txn_no") % 7 == 0) & (F.col("txn_no") >= newest - 16), "OPEN").otherwise("COMMIT")
+    ends = ends.withColumn("op", end).where("op <> 'OPEN'")
     at = F.floor(F.col("last") / 200).cast("long")
     ended = ends.select(F.lit(1).alias("thread"), at.alias("sequence"), ((F.col("last") + 1) % 200).alias("block_offset"), at.alias("lwn"), (F.col("last") + 1).alias("scn"), "xid", "op", "container")
     return changes.drop("txn_no").unionByName(ended, allowMissingColumns=True)

@@ -114,7 +114,8 @@ def judged(docs: DataFrame, text_col: str = "text", min_words: int = 20, max_rep
         )
 
     rule = "rules of " + text_col
-    out = docs.withColumn(rule, let(_words(text), whole))
+    # a generator of one row: a filter on what it gives is not pushed below it, which would judge each text twice
+    out = docs.withColumn(rule, F.explode_outer(F.transform(F.array(_words(text)), whole)))
     get = F.col(f"`{rule}`")
     for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"):
         out = out.withColumn(name, get[name])

@@ -12,7 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, mixing, quality_rules, secrets, simhash
+from tidemark.llm import bpe, mixing, near_copies, quality_rules, secrets
 from tidemark.llm.common import shared_folder, table
 from tidemark.llm.queries import MIX_WEIGHTS, tokenizer_file
 
@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.deduplicated(docs)
+    """One document of each group of near-duplicates stays: five-word shingles, a Jaccard similarity of 0.8 or more."""
+    return near_copies.deduplicated(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

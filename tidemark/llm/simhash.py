@@ -32,20 +32,27 @@ BITS, PARTS = 64, 3
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint(text: str | None, size: int = 3) -> int:
-    """The SimHash of a text's ``size``-word shingles, as an unsigned integer; 0 without a word."""
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """A hash of each of a text's ``size``-word shingles, in order; a shorter text is one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII space only
     if not words:
-        return 0
+        return np.empty(0, dtype="<u8")
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(size, len(words))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array(
+    return np.array(
         [digest(joined[a:b], 42) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)],
         dtype="<u8",
     )
+
+
+def fingerprint(text: str | None, size: int = 3) -> int:
+    """The SimHash of a text's ``size``-word shingles, as an unsigned integer; 0 without a word."""
+    hashes = shingle_hashes(text, size)
+    if not len(hashes):
+        return 0
     octets = hashes.view(np.uint8).reshape(-1, 8)
     if len(octets) < 256:
         counts = np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -258,8 +265,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, tau: int = 2) -> DataFrame:
     """One row of each component of ``docs``: that with the smallest id, nulls last, and of rows
     with that id the one whose text has the smallest hash. Columns are those of ``docs``."""
-    id_type = docs.schema[id_col].dataType
     _, lowest = grouped(checkpointed(fingerprints(docs, id_col, text_col, size)), tau)
+    return first_of_each(docs, lowest, id_col, text_col)
+
+
+def first_of_each(docs: DataFrame, lowest: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that ``best`` in ``lowest`` (``no_id, id, h``) names, one of equal ones."""
+    id_type = docs.schema[id_col].dataType
     ones = lowest.select(F.col("best.id").alias("one_id"), F.col("best.h").alias("one_h"))
     keyed = docs.withColumns({"row_id": docs[id_col].cast("long"), "row_h": F.xxhash64(docs[text_col].cast("string"))})
     kept = keyed.join(ones, keyed.row_id.eqNullSafe(ones.one_id) & (keyed.row_h == ones.one_h), "left_semi")

@@ -13,7 +13,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .html_tree import BLOCKS, Node, align, clean, own_text, parse
@@ -132,35 +132,60 @@ def extract(pages: list[str], same_host: bool = True) -> list[str]:
     return out
 
 
+def _group(keys: DataFrame, group_pages: int) -> DataFrame:
+    """``(host, cuts)`` of the hosts with over ``group_pages`` distinct ``(host, h)``: the least ``h`` of each
+    of their groups but the first. A host's groups are as few as can be and differ by one page at most.
+
+    Ranks are exact: leading bits of the hash make ranges, whose counts say what comes before.
+    """
+    keys = keys.distinct().withColumn("k", F.shiftright("h", 52))
+    counts = keys.groupBy("host", "k").agg(F.count("*").alias("c"))
+    of_host = Window.partitionBy("host")
+    known = counts.withColumns({"n": F.sum("c").over(of_host), "before": F.sum("c").over(of_host.orderBy("k")) - F.col("c")}).where(F.col("n") > group_pages)
+    ranked = keys.join(known, ["host", "k"]).withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("host", "k").orderBy("h")) - 1)
+    groups = f"ceil(n / {group_pages})"
+    starts = ranked.where(f"rank > 0 and rank * {groups} div n > (rank - 1) * {groups} div n")
+    return starts.groupBy("host").agg(F.sort_array(F.collect_list("h")).alias("cuts"))
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group_pages: int = 48) -> DataFrame:
     """``(page_id, url, text, n_chars)`` of each row.
 
-    Pages are ordered by host and a hash of id and URL, so a host with many pages spreads over
-    tasks; each run of up to ``group_pages`` pages of a host is aligned by itself. A null or empty
-    page has an empty text; pages without a host show nobody's template. Other columns are not read.
+    A host's pages, by a hash of all they are, are dealt evenly to groups of up to ``group_pages``
+    distinct ones, whatever the partitions; each group is aligned by itself, and equal rows are read
+    once. A null or empty page has an empty text; pages without a host show nobody's template. Other
+    columns are not read.
     """
     own = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html"))
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    own = own.select(host.alias("host"), F.xxhash64("page_id", "url").alias("h"), "page_id", "url", "html")
-    dealt = own.repartitionByRange("host", "h").sortWithinPartitions("host", "h")
+    own = own.select(host.alias("host"), F.xxhash64("page_id", "url", "html").alias("h"), "page_id", "url", "html")
+    cut = own.join(F.broadcast(_group(own.select("host", "h"), group_pages)), "host", "left")
+    # how many cuts are not above h, by halving
+    at = F.aggregate(F.array(*[F.lit(1 << b) for b in range(24, -1, -1)]), F.lit(0), lambda lo, p: F.when(F.get("cuts", lo + p - 1) <= F.col("h"), lo + p).otherwise(lo))
+    grouped = cut.select("host", F.when(F.col("cuts").isNull(), 0).otherwise(at).alias("part"), "page_id", "url", "html", "h")
+    dealt = grouped.repartition("host", "part").sortWithinPartitions("host", "part", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
+        page: dict[str, int] = {}  # each distinct page of the group once
+        key = None
 
         def done() -> pa.RecordBatch:
-            texts = extract([r[3] or "" for r in group], same_host=bool(group[0][0]))
-            ids, urls = [r[1] for r in group], [r[2] for r in group]
+            found = extract(list(page), same_host=bool(key[0]))
+            ids, urls, texts = [r[0] for r in group], [r[1] for r in group], [found[r[2]] for r in group]
             group.clear()
+            page.clear()
             return pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],
             )
 
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
-                if group and (group[0][0] != row[0] or len(group) >= group_pages):
+            for *of, i, url, html in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if group and key != of:
                     yield done()
-                group.append(row)
+                key = of
+                group.append((i, url, page.setdefault(html or "", len(page))))
         if group:
             yield done()
 

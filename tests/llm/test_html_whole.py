@@ -15,3 +15,33 @@ def test_every_page_of_a_host_has_a_group(spark):
             assert sorted((r.url, r.text) for r in html_extract.main_text(pages.repartition(n)).collect()) == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_long_lists_are_aligned():
+    def rows(i):
+        return "".join(f"<p class=c{k % 7}>Item {k} of {i}</p>" + (f"<h4>Part {k // 50} of the catalogue</h4>" if k % 50 == 0 else "") for k in range(300))
+
+    # a label that the first page has early and the others late
+    pages = ["<body>" + ("<hr class=x>" if i == 0 else "") + rows(i) + ("" if i == 0 else "<hr class=x>") + "</body>" for i in range(6)]
+    for i, text in enumerate(html_extract.extract(pages)):
+        assert text == "\n\n".join(f"Item {k} of {i}" for k in range(300))
+
+
+def test_long_and_short_lists_have_the_same_pairs():
+    import random
+
+    from tidemark.llm import html_tree
+
+    rng = random.Random(4)
+    for n, m in ((5, 7), (40, 3), (60, 90), (150, 150)):
+        a, b = (html_tree.parse("".join(rng.choice(("<p>", "<h2>", "<div><b></b></div>", "<div><i></i><b></b></div>")) for _ in range(k))) for k in (n, m))
+        shapes = html_tree.Shapes()
+        shapes.add(a)
+        shapes.add(b)
+        xs, ys = ([shapes.of[id(c)] for c in t.elements()] for t in (a, b))
+        long = shapes._long_pairs(tuple(xs), tuple(ys))
+        before, html_tree._LONG = html_tree._LONG, 10**9
+        try:
+            assert long == shapes.pairs(tuple(xs), tuple(ys))
+        finally:
+            html_tree._LONG = before

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .html_tree import BLOCKS, Node, align, clean, own_text, parse
+from .html_tree import BLOCKS, Node, Shapes, align, clean, own_text, parse
 
 #: Elements, roles and words in class or id that mark what isn't main text.
 NOT_MAIN = frozenset("nav aside footer form menu dialog button select fieldset search head audio video canvas map label input datalist output progress".split())
@@ -105,7 +105,8 @@ def extract(pages: list[str], same_host: bool = True) -> list[str]:
     distinct = sorted(first.values())
     if same_host and len(distinct) >= 3:
         pivot = trees[distinct[0]]
-        slot = [{id(y): id(x) for x, y in align(pivot, t)} for t in trees]
+        shapes = Shapes()
+        slot = [{id(y): id(x) for x, y in align(pivot, t, shapes)} for t in trees]
         said: dict[tuple[int, int], Counter] = defaultdict(Counter)
         for i in distinct:
             for n, run, text, _, _ in shown[i]:

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import html
+import math
 import re
+from collections import defaultdict
+
+import numpy as np
 
 #: Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -109,60 +113,131 @@ def own_text(node: Node) -> str:
     return clean("".join(out))
 
 
-#: Child lists whose lengths multiply to more are paired greedily, in linear time.
-_LONG = 40_000
-
-
-def _pairs(xs: list[Node], ys: list[Node], memo: dict) -> list[tuple[Node, Node]]:
-    """The pairs of children, in order, whose matchings are largest in sum."""
-    if len(xs) * len(ys) > _LONG:
-        out, j = [], 0
-        where: dict[str, list[int]] = {}
-        for k in range(len(ys) - 1, -1, -1):
-            where.setdefault(ys[k].label, []).append(k)
-        for x in xs:  # the next child of the same kind
-            at = where.get(x.label, [])
-            while at and at[-1] < j:
-                at.pop()
-            if at:
-                j = at.pop()
-                out.append((x, ys[j]))
-                j += 1
+#: Child lists whose lengths multiply to more are matched by rows of arrays, with the same result.
+_LONG = 2_000
+
+
+class Shapes:
+    """Shapes of trees, numbered: a label and the shapes of the child elements. The largest matching of
+    two trees depends on their shapes alone, so that of two shapes is worked out once."""
+
+    def __init__(self) -> None:
+        self.known: dict[tuple, int] = {}
+        self.of: dict[int, int] = {}  # by id of a node; the nodes live as long
+        self.label: list[str] = []
+        self.kids: list[tuple[int, ...]] = []
+        self.count: list[int] = []
+        self.sizes: dict[tuple[int, int], int] = {}
+
+    def add(self, root: Node) -> None:
+        if id(root) in self.of:
+            return
+        order, todo = [], [root]
+        while todo:
+            n = todo.pop()
+            order.append(n)
+            todo += n.elements()
+        for n in reversed(order):
+            kids = tuple(self.of[id(c)] for c in n.elements())
+            key = (n.label, kids)
+            if key not in self.known:
+                self.known[key] = len(self.label)
+                self.label.append(n.label)
+                self.kids.append(kids)
+                self.count.append(1 + sum(self.count[k] for k in kids))
+            self.of[id(n)] = self.known[key]
+
+    def _one(self, s: int, t: int) -> int | None:
+        if self.label[s] != self.label[t]:
+            return 0
+        return self.count[s] if s == t else self.sizes.get((s, t))
+
+    def size(self, s: int, t: int) -> int:
+        """The nodes in the largest matching of two trees that keeps parents and the order of children."""
+        todo = [(s, t)]
+        while todo:
+            a, b = todo[-1]
+            if self._one(a, b) is None:
+                other: dict[str, set[int]] = defaultdict(set)
+                for y in self.kids[b]:
+                    other[self.label[y]].add(y)
+                before = [(x, y) for x in set(self.kids[a]) for y in other.get(self.label[x], ()) if self._one(x, y) is None]
+                if before:
+                    todo += before
+                    continue
+                xs, ys = self.kids[a], self.kids[b]
+                self.sizes[a, b] = 1 + sum(self._one(xs[i], ys[j]) for i, j in self.pairs(xs, ys))
+            todo.pop()
+        return self._one(s, t)
+
+    def pairs(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> list[tuple[int, int]]:
+        """The places of children, last first, whose matchings are largest in sum."""
+        if not xs or not ys:
+            return []
+        if len(xs) * len(ys) > _LONG:
+            return self._long_pairs(xs, ys)
+        rows = [[0] * (len(ys) + 1)]
+        for x in xs:
+            row, before = [0], rows[-1]
+            for j, y in enumerate(ys):
+                row.append(max(row[j], before[j + 1], before[j] + self.size(x, y)))
+            rows.append(row)
+        out, i, j = [], len(xs), len(ys)
+        while i and j:
+            if rows[i][j] == rows[i - 1][j]:
+                i -= 1
+            elif rows[i][j] == rows[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((i, j))
         return out
-    rows = [[0] * (len(ys) + 1)]
-    for x in xs:
-        row, before = [0], rows[-1]
-        for j, y in enumerate(ys):
-            row.append(max(row[j], before[j + 1], before[j] + _size(x, y, memo)))
-        rows.append(row)
-    out, i, j = [], len(xs), len(ys)
-    while i and j:
-        if rows[i][j] == rows[i - 1][j]:
-            i -= 1
-        elif rows[i][j] == rows[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            out.append((xs[i], ys[j]))
-    return out
 
-
-def _size(a: Node, b: Node, memo: dict) -> int:
-    """The nodes in the largest matching of two trees that keeps parents and the order of children."""
-    if a.label != b.label:
-        return 0
-    key = (id(a), id(b))
-    if key not in memo:
-        memo[key] = 1 + sum(_size(x, y, memo) for x, y in _pairs(a.elements(), b.elements(), memo))
-    return memo[key]
+    def _long_pairs(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> list[tuple[int, int]]:
+        """The same by the same rows, of which only some are kept and the others made again on the way back."""
+        kinds, at = np.unique(np.array(ys), return_inverse=True)
+        weights: dict[int, np.ndarray] = {}
+
+        def following(before: np.ndarray, x: int) -> np.ndarray:
+            if x not in weights:
+                weights[x] = np.array([self.size(x, y) for y in kinds.tolist()], dtype=np.int64)
+            row = before.copy()
+            np.maximum(row[1:], before[:-1] + weights[x][at], out=row[1:])
+            return np.maximum.accumulate(row)
+
+        step = math.isqrt(len(xs)) + 1
+        row = np.zeros(len(ys) + 1, dtype=np.int64)
+        kept = []
+        for i, x in enumerate(xs):
+            if i % step == 0:
+                kept.append(row)
+            row = following(row, x)
+        out, j = [], len(ys)
+        for k in range(len(kept) - 1, -1, -1):
+            rows = [kept[k]]
+            for x in xs[k * step : (k + 1) * step]:
+                rows.append(following(rows[-1], x))
+            i = len(rows) - 1
+            while i and j:
+                if rows[i][j] == rows[i - 1][j]:
+                    i -= 1
+                elif rows[i][j] == rows[i][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    out.append((k * step + i, j))
+        return out
 
 
-def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """The pairs of nodes that simple tree matching puts together."""
-    memo: dict = {}
+def align(a: Node, b: Node, shapes: Shapes | None = None) -> list[tuple[Node, Node]]:
+    """The pairs of nodes that simple tree matching puts together. ``shapes`` keeps what is known of trees that live on."""
+    shapes = shapes or Shapes()
+    shapes.add(a)
+    shapes.add(b)
     out, todo = [], [(a, b)]
     while todo:
         x, y = todo.pop()
         out.append((x, y))
-        todo += _pairs(x.elements(), y.elements(), memo)
+        xs, ys = x.elements(), y.elements()
+        todo += [(xs[i], ys[j]) for i, j in shapes.pairs(tuple(shapes.of[id(c)] for c in xs), tuple(shapes.of[id(c)] for c in ys))]
     return out

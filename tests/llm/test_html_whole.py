@@ -45,3 +45,15 @@ def test_long_and_short_lists_have_the_same_pairs():
             assert long == shapes.pairs(tuple(xs), tuple(ys))
         finally:
             html_tree._LONG = before
+
+
+def test_deep_elements_are_closed():
+    for depth in (100, 200, 5000):
+        page = "<html><body><div><article><p>Begin {i}</p>" + "<div>" * depth + "<p>Deep {i}</p><aside>Menu {i}</aside>" + "</div>" * depth + "<p>End {i}</p></article></div><div>Other {i}</div></body></html>"
+        assert html_extract.extract([page.format(i=i) for i in range(4)]) == [f"Begin {i}\n\nDeep {i}\n\nEnd {i}" for i in range(4)]
+
+
+def test_head_ends_without_its_tag():
+    for start in ("<head><title>t</title><meta charset=utf-8><body>", "<head><title>t</title>", "<head><link rel=x href=y>\n"):
+        for text in ("<p>All of it</p>", "All of it"):
+            assert html_extract.extract([start + text]) == ["All of it"]

@@ -50,35 +50,38 @@ def _blocks(root: Node) -> list[tuple[Node, int, str, bool, bool]]:
     """``(node, run, text, left out, in main)`` of each stretch of text, in page order. A run is text between blocks."""
     out: list[tuple[Node, int, str, bool, bool]] = []
 
-    def walk(n: Node, left: bool, main: bool) -> None:
-        buffer: list[str] = []
-        run = 0
-
-        def flush() -> None:
-            nonlocal run
-            if text := clean("".join(buffer)):
-                out.append((n, run, text, left, main))
-                run += 1
-            buffer.clear()
-
-        def inline(x: Node) -> None:
-            for c in x.children:
-                if isinstance(c, str):
-                    buffer.append(c)
-                elif c.tag == "br":
-                    buffer.append(" ")
-                elif c.tag in BLOCKS or _is_main(c):
-                    flush()
-                    walk(c, left or _left_out(c, main), main or _is_main(c))
-                elif _left_out(c, main):
-                    continue
-                else:
-                    inline(c)
-
-        inline(n)
-        flush()
-
-    walk(root, False, False)
+    class Block:
+        __slots__ = ("buffer", "left", "main", "n", "run")
+
+        def __init__(self, n: Node, left: bool, main: bool):
+            self.n, self.left, self.main, self.run, self.buffer = n, left, main, 0, []
+
+        def flush(self) -> None:
+            if text := clean("".join(self.buffer)):
+                out.append((self.n, self.run, text, self.left, self.main))
+                self.run += 1
+            self.buffer.clear()
+
+    # children still to be read: of a block, and of inline elements in it
+    todo = [(iter(root.children), Block(root, False, False), True)]
+    while todo:
+        rest, block, own = todo[-1]
+        for c in rest:
+            if isinstance(c, str):
+                block.buffer.append(c)
+            elif c.tag == "br":
+                block.buffer.append(" ")
+            elif c.tag in BLOCKS or _is_main(c):
+                block.flush()
+                todo.append((iter(c.children), Block(c, block.left or _left_out(c, block.main), block.main or _is_main(c)), True))
+                break
+            elif not _left_out(c, block.main):
+                todo.append((iter(c.children), block, False))
+                break
+        else:
+            todo.pop()
+            if own:
+                block.flush()
     return out
 
 

@@ -24,6 +24,8 @@ _CLOSES |= {
     "tbody": (("tbody", "thead", "tfoot", "tr", "td", "th"), ("table",)), "tfoot": (("tbody", "thead", "tr", "td", "th"), ("table",)),
     "option": (("option",), ("select", "datalist")), "optgroup": (("option", "optgroup"), ("select",)),
 }
+#: What can stand in a head; any other element or text ends it.
+_IN_HEAD = frozenset("html head base basefont bgsound link meta".split()) | RAW
 _SCOPE = frozenset("table td th caption button html body".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
@@ -46,11 +48,26 @@ def parse(source: str) -> Node:
     """The tree of a page. Character references in text are decoded; comments and raw elements are left out."""
     root = Node("#root", {})
     stack, at = [root], 0
+    where: dict[str, list[int]] = defaultdict(list)  # the places in the stack of open elements of each kind
+    blocks: list[int] = []  # and of open blocks
     end, last = len(source), source.rfind(">")
+
+    def cut(i: int) -> None:
+        for n in stack[i:]:
+            where[n.tag].pop()
+        while blocks and blocks[-1] >= i:
+            blocks.pop()
+        del stack[i:]
+
+    def top(kinds) -> int:
+        return max((where[k][-1] for k in kinds if where.get(k)), default=0)
+
     while at < end:
         m = _TAG.search(source, at) if at <= last else None
         text = source[at : m.start() if m else end]
         if text:
+            if stack[-1].tag == "head" and not text.isspace():
+                cut(len(stack) - 1)
             stack[-1].children.append(html.unescape(text))
         if not m:
             break
@@ -59,36 +76,30 @@ def parse(source: str) -> Node:
         if not tag:
             continue
         if m[1] or m[4]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag not in BLOCKS and stack[i].tag in BLOCKS:
-                    break  # a stray end tag of an inline element
-            else:
-                if tag == "p":  # a stray one still ends a paragraph
-                    stack[-1].children.append(Node("p", {}))
+            i = top((tag,))
+            if i and (tag in BLOCKS or not blocks or blocks[-1] < i):  # else a stray end tag
+                cut(i)
+            elif not i and tag == "p":  # a stray one still ends a paragraph
+                stack[-1].children.append(Node("p", {}))
             continue
         if tag in RAW:
             closing = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
             at = closing.end() if closing else end
             continue
+        if tag not in _IN_HEAD and (i := top(("head",))):
+            cut(i)
         if tag in _CLOSES:
             kinds, bound = _CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in kinds:
-                    del stack[i:]
-                elif stack[i].tag in bound or stack[i].tag in _SCOPE and not bound:
-                    break
-                if len(stack) <= 1:
-                    break
+            while (i := top(kinds)) and i > top(bound or _SCOPE - set(kinds)):
+                cut(i)
         attrs = {a.lower(): html.unescape(x or y or z or "") for a, x, y, z in _ATTR.findall(m[3] or m[6] or "")}
         node = Node(tag, attrs)
         stack[-1].children.append(node)
         if tag not in VOID and not (m[3] or m[6] or "").endswith("/"):
+            where[tag].append(len(stack))
+            if tag in BLOCKS:
+                blocks.append(len(stack))
             stack.append(node)
-            if len(stack) > 150:  # deeper elements become siblings
-                stack.pop()
     return root
 
 
@@ -99,17 +110,15 @@ def clean(text: str) -> str:
 def own_text(node: Node) -> str:
     """The text of a node outside of block elements in it; a line break counts as a space."""
     out: list[str] = []
-
-    def walk(x: Node) -> None:
-        for c in x.children:
-            if isinstance(c, str):
-                out.append(c)
-            elif c.tag in BLOCKS or c.tag == "br":
-                out.append(" ")
-            else:
-                walk(c)
-
-    walk(node)
+    todo = list(reversed(node.children))
+    while todo:
+        c = todo.pop()
+        if isinstance(c, str):
+            out.append(c)
+        elif c.tag in BLOCKS or c.tag == "br":
+            out.append(" ")
+        else:
+            todo += reversed(c.children)
     return clean("".join(out))
 
 

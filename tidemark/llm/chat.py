@@ -13,6 +13,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from .common import let
 
@@ -21,6 +22,8 @@ OPEN, MIDDLE, CLOSE = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 _CONTROL = r"<(?=\||/?s>)|\[(?=/?INST\])|\\"
 
 TURNS = "array<struct<role:string,text:string>>"
+#: The longest string that Spark's JSON parser reads; no shorter record is over its other limits.
+PARSED = 20_000_000
 
 #: Mappings: the name, required and optional paths with their types, and turns as SQL over the variant ``v``.
 #: ``path(p)`` stands for the text at path p.
@@ -51,30 +54,60 @@ def _signature(paths: tuple[str, ...]) -> str:
     return f"OBJECT<{', '.join(shown)}>"
 
 
+def _schema_paths(t: DataType) -> str:
+    """What ``field_paths`` gives for values of a type."""
+    if isinstance(t, StructType):
+        return f"OBJECT<{', '.join(f'{f.name}: {_schema_paths(f.dataType)}' for f in sorted(t.fields, key=lambda f: f.name))}>"
+    return f"ARRAY<{_schema_paths(t.elementType)}>" if isinstance(t, ArrayType) else "_"
+
+
+def _native_turns(sql: str, names: list[str]) -> Column:
+    """The mapping's turns over a struct ``v`` with fields ``names``."""
+    sql = re.sub(r"variant_get\(v, '\$\.(\w+)', '[^']*'\)", r"v.`\1`", sql)
+    return F.expr(re.sub(r"path\((\w+)\)", lambda m: f"cast({f'v.`{m[1]}`' if m[1] in names else 'null'} as string)", sql))
+
+
 def _turns(sql: str) -> Column:
     return F.expr(re.sub(r"path\((\w+)\)", r"variant_get(v, '$.\1', 'string')", sql))
 
 
 def canonical_turns(records: DataFrame, json_col: str) -> DataFrame:
     """``records`` with ``layout`` (a mapping's name, null if none fits), ``fingerprint`` and ``turns``
-    (``array<struct<role, text>>``), for records given as JSON text in ``json_col``.
+    (``array<struct<role, text>>``), for records given in ``json_col`` as structs or as JSON text.
 
+    A struct's layout is its schema's and its turns are taken as they are, whatever their size. JSON
+    text is parsed as a whole; Spark's parser reads strings of up to 20,000,000 characters and records
+    of up to 128 MiB, and the job fails at a longer text that can't be read.
     A null record, one that is no JSON, and one whose layout no mapping knows have null turns.
     Null roles and texts become empty. Columns of these names are replaced.
     """
-    out = records.withColumn("v", F.try_parse_json(F.col(f"`{json_col}`").cast("string")))
-    out = out.withColumn("fingerprint", F.when(F.col("v").isNotNull(), F.xxhash64(field_paths(F.col("v")))))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
+    given = records.schema[json_col].dataType
+    if isinstance(given, StructType):
+        out, paths = records.withColumn("v", F.col(f"`{json_col}`")), F.lit(_schema_paths(given))
+    else:
+        text = F.col(f"`{json_col}`").cast("string")
+        parsed = F.try_parse_json(text)
+        over = F.raise_error(F.lit(f"a record is no JSON or over what Spark's parser reads ({PARSED:,} characters a string, 128 MiB)"))
+        out = records.withColumn("v", F.when((F.length(text) > PARSED) & parsed.isNull(), over).otherwise(parsed))
+        paths = field_paths(F.col("v"))
+    out = out.withColumn("fingerprint", F.when(F.col("v").isNotNull(), F.xxhash64(paths)))
     for name, required, optional, sql in MAPPINGS:
         variants = [_signature(required + extra) for n in range(len(optional) + 1) for extra in combinations(optional, n)]
         fits = F.col("fingerprint").isin(*[F.xxhash64(F.lit(x)) for x in variants])
-        layout, turns = F.when(fits, F.lit(name)).otherwise(layout), F.when(fits, _turns(sql).cast(TURNS)).otherwise(turns)
+        if isinstance(given, StructType):
+            if _schema_paths(given) not in variants:
+                continue
+            found = _native_turns(sql, given.names)
+        else:
+            found = _turns(sql)
+        layout, turns = F.when(fits, F.lit(name)).otherwise(layout), F.when(fits, found.cast(TURNS)).otherwise(turns)
     turns = F.transform(turns, lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
     return out.withColumn("layout", layout).withColumn("turns", turns).drop("v")
 
 
 def conversation_records(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """``(id, record)``: a message record as JSON for each id, its rows ordered by turn, nulls first, then role and text."""
+    """``(id, record)``: a message record as a struct for each id, its rows ordered by turn, nulls first, then role and text."""
     row = F.struct(
         F.col(turn_col).cast("long").alias("turn"),
         F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"),
@@ -82,7 +115,7 @@ def conversation_records(rows: DataFrame, id_col: str = "conv_id", turn_col: str
     )
     grouped = rows.groupBy(F.col(id_col).alias(id_col)).agg(F.sort_array(F.collect_list(row)).alias("rows"))
     messages = F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["content"].alias("content")))
-    return grouped.select(id_col, F.to_json(F.struct(messages.alias("messages"))).alias("record"))
+    return grouped.select(id_col, F.struct(messages.alias("messages")).alias("record"))
 
 
 def escaped(text: Column) -> Column:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpointed, shared_folder
+from ..session import Scratch, checkpointed, delete, shared_folder
 
-__all__ = ["SPACE", "checkpointed", "let", "shared_folder", "table"]
+__all__ = ["SPACE", "Scratch", "checkpointed", "delete", "let", "shared_folder", "table"]
 
 #: White space between words: the space and the characters 0x09 to 0x0D.
 SPACE = r"\x20\x09-\x0D"

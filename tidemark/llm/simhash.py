@@ -2,9 +2,10 @@
 
 1. Each text gets a 64-bit fingerprint; only ``(id, fingerprint)`` is kept, and equal
    fingerprints become one node.
-2. Correlated bits are grouped into three partitions. Two fingerprints within ``tau`` bits agree
-   on some partition within its threshold if the thresholds sum to ``tau - 3 + 1``, where a
-   threshold of -1 leaves a partition out.
+2. Correlated bits are grouped into partitions: three, or two from some 30 million fingerprints on,
+   when values of a third of the bits would each be shared by many. Two fingerprints within ``tau``
+   bits agree on some partition within its threshold if the thresholds sum to ``tau - parts + 1``,
+   where a threshold of -1 leaves a partition out.
 3. A dynamic program gives every fingerprint the thresholds with the fewest estimated candidates:
    exact counts for threshold 0, counts plus the usual density of the neighbours for threshold 1.
 4. Values of a partition that many fingerprints share would give all pairs of a group. One
@@ -13,7 +14,7 @@
    centre has 65 fingerprints at most and links them to its smallest one; this needs 65 rows a
    fingerprint whatever the size of a group.
 5. Candidates are verified bit by bit; components come from alternating large-star and small-star
-   steps, which never bring the neighbours of a node together.
+   steps. Keys with a large share of all rows are joined by a broadcast of bounded size.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-BITS, PARTS = 64, 3
+BITS = 64
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -50,7 +51,11 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
 
 def fingerprint(text: str | None, size: int = 3) -> int:
     """The SimHash of a text's ``size``-word shingles, as an unsigned integer; 0 without a word."""
-    hashes = shingle_hashes(text, size)
+    return simhash_of(shingle_hashes(text, size))
+
+
+def simhash_of(hashes: np.ndarray) -> int:
+    """The fingerprint of little-endian unsigned 64-bit hashes: a bit is set if over half of them have it."""
     if not len(hashes):
         return 0
     octets = hashes.view(np.uint8).reshape(-1, 8)
@@ -74,8 +79,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return own.mapInArrow(run, "id long, h long, fp long")
 
 
-def _bit_groups(nodes: DataFrame) -> list[list[int]]:
-    """The bits in three groups, each grown from a bit by the bits most correlated with it.
+def partitions_for(n: int) -> int:
+    """How many partitions suit ``n`` fingerprints: three while about 16 or fewer share a value of a third of the bits."""
+    return 3 if n < 16 << BITS // 3 else 2
+
+
+def _bit_groups(nodes: DataFrame, parts: int) -> list[list[int]]:
+    """The bits in ``parts`` groups, each grown from a bit by the bits most correlated with it.
 
     How often each two bits are set together is counted over all fingerprints: 64 rows of 64
     counts from each task, which Spark adds up.
@@ -104,8 +114,8 @@ def _bit_groups(nodes: DataFrame) -> list[list[int]]:
         corr = np.abs((joint - np.outer(p, p)) / np.outer(sd, sd))
         np.fill_diagonal(corr, 0)
     left, groups = list(range(BITS)), []
-    for g in range(PARTS):
-        width = (BITS - sum(map(len, groups))) // (PARTS - g)
+    for g in range(parts):
+        width = (BITS - sum(map(len, groups))) // (parts - g)
         group = [max(left, key=lambda b: (corr[b, left].sum(), -b))]
         left.remove(group[0])
         while len(group) < width:
@@ -151,16 +161,19 @@ def _signatures(fp: Column, t: Column, part: int, bits: list[int]) -> Column:
     return F.transform(within, lambda v: F.struct(F.lit(part).alias("part"), v.alias("value")))
 
 
-def links(nodes: DataFrame, tau: int = 2, hot: int = BITS) -> DataFrame:
+def links(nodes: DataFrame, tau: int = 2, hot: int = BITS, parts: int | None = None) -> DataFrame:
     """Edges ``(a, b)``, a > b, that join every two distinct ``fp`` of ``nodes`` within ``tau`` = 2 bits.
 
     Fingerprints in large groups are joined through their centre's smallest member, so the edges
     have the same components as all links, not each link itself. ``hot``: from so many
-    fingerprints that share a partition's value on, they are linked by centres.
+    fingerprints that share a partition's value on, they are linked by centres. ``parts``: how many
+    partitions the bits are cut into, by default as ``partitions_for`` tells.
     """
     if tau != 2:
         raise ValueError("centres one bit away cover two differing bits")
-    groups = _bit_groups(nodes)
+    total = nodes.count()
+    parts = parts or partitions_for(total)
+    groups = _bit_groups(nodes, parts)
     masks, widths = [_mask(g) for g in groups], [len(g) for g in groups]
     fp = F.col("fp")
     sides = nodes.select("fp", F.posexplode(F.array(*[fp.bitwiseAND(F.lit(m)) for m in masks])).alias("part", "value"))
@@ -168,23 +181,21 @@ def links(nodes: DataFrame, tau: int = 2, hot: int = BITS) -> DataFrame:
     counts = checkpointed(counts)
     seen = {r["part"]: r for r in counts.groupBy("part").agg((F.sum(F.col("c") * F.col("c")) / F.sum("c")).alias("share"), F.sum("c").alias("n")).collect()}
     # what a flipped value meets: the density of values as fingerprints see it
-    density = [seen[i]["share"] - 1 if i in seen else 0.0 for i in range(PARTS)]
-    shared = counts.where("c > 1")  # a value of one fingerprint alone has nothing to look up
-    counted = (
-        sides.join(shared, ["part", "value"], "left")
-        .groupBy("fp")
-        .agg(*[F.max(F.when(F.col("part") == i, F.coalesce("c", F.lit(1)) - 1)).cast("double").alias(f"c{i}") for i in range(PARTS)])
-    )
-    plan = _allocate([F.col(f"c{i}") for i in range(PARTS)], widths, density, tau - PARTS + 1)
-    planned = checkpointed(
-        counted.withColumn("plan", plan).select("fp", F.greatest("c0", "c1", "c2").alias("most"), F.col("plan.cost").alias("cost"), F.col("plan.t").alias("t"))
-    )
+    density = [seen[i]["share"] - 1 if i in seen else 0.0 for i in range(parts)]
+    shared = counts.where("c > 1").withColumn("n", F.col("c"))  # a value of one fingerprint alone has nothing to look up
+    sided = _joined(sides, shared, ["part", "value"], total)
+    known = sided.groupBy("fp").agg(*[F.max(F.when(F.col("part") == i, F.col("c") - 1)).alias(f"c{i}") for i in range(parts)])
+    counted = nodes.select("fp").join(known, "fp", "left").select("fp", *[F.coalesce(f"c{i}", F.lit(0)).cast("double").alias(f"c{i}") for i in range(parts)])
+    plan = _allocate([F.col(f"c{i}") for i in range(parts)], widths, density, tau - parts + 1)
+    most = F.greatest(*[F.col(f"c{i}") for i in range(parts)])
+    planned = checkpointed(counted.withColumn("plan", plan).select("fp", most.alias("most"), F.col("plan.cost").alias("cost"), F.col("plan.t").alias("t")))
     probing = planned.where(f"cost <= {BITS + 1} and most < {hot}")
-    signatures = F.flatten(F.array(*[_signatures(fp, F.substring("t", i + 1, 1), i, groups[i]) for i in range(PARTS)]))
+    signatures = F.flatten(F.array(*[_signatures(fp, F.substring("t", i + 1, 1), i, groups[i]) for i in range(parts)]))
     probes = probing.select("fp", F.explode(signatures).alias("s")).select("fp", "s.part", "s.value")
-    looked = probes.join(counts, ["part", "value"])  # only values that exist
-    looked = checkpointed(looked.select("fp", "part", "value", "c"))
-    index = sides.select(F.col("fp").alias("other"), "part", "value")
+    # only values that exist
+    looked = checkpointed(_joined(probes, counts.withColumn("n", F.col("c")), ["part", "value"], total))
+    hottest = counts.where(f"c > {hot} and c * 2000 > {total}").select("part", "value")  # few; their rows take no way to one task
+    index = sides.join(F.broadcast(hottest), ["part", "value"], "left_anti").select(F.col("fp").alias("other"), "part", "value")
     pairs = (
         looked.where(f"c <= {hot}").join(index, ["part", "value"])
         .where((F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= tau))
@@ -203,17 +214,17 @@ def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` of each node in an edge ``(a, b)`` but the roots; a component's root is its smallest node.
 
     Large-star hangs each larger neighbour on a node's smallest one, small-star each smaller one;
-    both until nothing changes. Minima are summed up before the shuffle and joined back, so a
-    node with many neighbours is never one task's group.
+    both until nothing changes. Minima are taken in part before the shuffle and joined back; those of
+    nodes with many neighbours, fewer than 4,000, by a broadcast, so no node is one task's group.
     """
     now = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
     mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
     while mark["n"]:
         both = now.union(now.select("b", "a")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = checkpointed(_joined(both, low, ["u"], mark["n"]).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct())
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = _joined(large, low, ["a"], mark["n"]).select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
         new = checkpointed(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a != b").distinct())
         found = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         now, done, mark = new, found == mark, found
@@ -222,14 +233,14 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _joined(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+def _joined(rows: DataFrame, table: DataFrame, key: list[str], total: int) -> DataFrame:
     """``rows`` with the one row of ``table`` for their ``key``; ``n`` there is how many rows have the key.
 
-    Keys with over a 2000th of all rows are fewer than 2000 and joined by a broadcast, so no key is one task's.
+    Keys with over a 2000th of ``total`` are few and joined by a broadcast, so no key is one task's.
     """
     is_hot = F.col("n") * 2000 > total
     hot, rest = table.where(is_hot).drop("n"), table.where(~is_hot).drop("n")
-    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    others = rows.join(F.broadcast(hot.select(*key)), key, "left_anti")
     return rows.join(F.broadcast(hot), key).unionByName(others.join(rest, key))
 
 
@@ -257,8 +268,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = checkpointed(fingerprints(docs, id_col, text_col, size))
     named, lowest = grouped(fps, tau)
     named, lowest = checkpointed(named), checkpointed(lowest.select("root", F.col("best.id").alias("component_id"), "n"))
-    known = checkpointed(_joined(named.withColumnRenamed("n", "rows"), lowest, "root", named.count()).select("fp", "component_id", F.col("rows").alias("n")))
-    rows = _joined(fps.select("id", "fp"), known, "fp", fps.count())
+    known = checkpointed(_joined(named.withColumnRenamed("n", "rows"), lowest, ["root"], named.count()).select("fp", "component_id", F.col("rows").alias("n")))
+    rows = _joined(fps.select("id", "fp"), known, ["fp"], fps.count())
     return rows.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -272,9 +283,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def first_of_each(docs: DataFrame, lowest: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` that ``best`` in ``lowest`` (``no_id, id, h``) names, one of equal ones."""
     id_type = docs.schema[id_col].dataType
-    ones = lowest.select(F.col("best.id").alias("one_id"), F.col("best.h").alias("one_h"))
-    keyed = docs.withColumns({"row_id": docs[id_col].cast("long"), "row_h": F.xxhash64(docs[text_col].cast("string"))})
-    kept = keyed.join(ones, keyed.row_id.eqNullSafe(ones.one_id) & (keyed.row_h == ones.one_h), "left_semi")
-    # equal rows come in copies, of which one stays
-    kept = kept.dropDuplicates(["row_id", "row_h"])
+
+    def key(i: Column, h: Column) -> dict[str, Column]:
+        return {"key no id": i.isNull(), "key id": F.coalesce(i, F.lit(0)), "key hash": h}
+
+    ones = lowest.select(*[c.alias(k) for k, c in key(F.col("best.id"), F.col("best.h")).items()])
+    keyed = docs.withColumns(key(docs[id_col].cast("long"), F.xxhash64(docs[text_col].cast("string"))))
+    # one shuffle serves both: equal rows come in copies, of which one stays
+    kept = keyed.join(ones, ones.columns, "left_semi").dropDuplicates(ones.columns)
     return kept.select(*[F.col(f"`{c}`") if c != id_col else F.col(f"`{c}`").cast(id_type) for c in docs.columns])

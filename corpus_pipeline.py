@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, mixing, near_copies, quality_rules, secrets
-from tidemark.llm.common import shared_folder, table
+from tidemark.llm.common import delete, shared_folder, table
 from tidemark.llm.queries import MIX_WEIGHTS, tokenizer_file
 
 
@@ -62,11 +62,6 @@ STAGES = [("quality_rules", quality), ("near_dedup", near_duplicates), ("secret_
 ORACLE_SQL = None
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what lies between them is in the shared folder."""
     docs, before = table(spark, sf_dir, "documents"), None
@@ -75,6 +70,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if before:
-            _delete(spark, before)
+            delete(spark, before)
         before = path
     return STAGES[-1][1](spark, docs, sf_dir)

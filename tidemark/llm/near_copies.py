@@ -1,16 +1,20 @@
 """Near copies of texts: a Jaccard similarity of 0.8 or more of their sets of five-word shingles.
 
 1. Texts with equal shingle sets become one node.
-2. Two sets of that similarity share a shingle among the first ``n - ceil(0.8 n) + 1`` of each, in
+2. SimHash fingerprints of the sets within two bits, found by the generalised pigeonhole, are the
+   first candidates. Sets of that similarity differ by some ten bits of 64, often by over 15, and no
+   partition of 64 bits finds those without looking at most pairs; so the others come in another way:
+3. Two sets of that similarity share a shingle among the first ``n - ceil(0.8 n) + 1`` of each, in
    any order that holds for all. Rare shingles come first: those that a sample shows often are put
    last, so a common passage is in no prefix of a text that has enough else. The sample changes
    the work, not the result.
-3. Texts that share a prefix's shingle are candidates. Neighbours by size are compared first and,
+4. Texts that share a prefix's shingle are candidates. Neighbours by size are compared first and,
    where more than ``HOT`` texts share it, neighbours in a few random orders. That joins most of a
    group; then every pair that still lies in different components is compared. Pairs within a
    component need no look, and of two texts in different ones at least one is outside of the
    component that most texts of the shingle are in.
-4. Candidates are verified on the whole sets; a group is a component of verified pairs.
+5. Prefixes alone rule most candidates out; the rest are verified on the whole sets. A group is a
+   component of verified pairs.
 """
 
 from __future__ import annotations
@@ -23,12 +27,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
-from .simhash import components, first_of_each, shingle_hashes
+from .common import Scratch, checkpointed
+from .simhash import components, first_of_each, links, shingle_hashes, simhash_of
 
 SIZE, HOT, ORDERS = 5, 16, 4
 #: The sample that shows frequent shingles: texts, how many of them must have one, and how many shingles are taken.
 SAMPLE, OFTEN, MOST = 5_000, 4, 50_000
+#: So many texts to verify, 16 bytes each, are named to all tasks; of more, the texts are shuffled.
+NAMED = 1_000_000
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -65,32 +71,38 @@ def _frequent(own: DataFrame) -> np.ndarray:
 
 
 def _nodes(own: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``(node, best, n, prefix)``: ``best`` is the node's least ``(no_id, id, h)``, ``n`` its set's size."""
+    """``(node, best, n, fp, often, last, prefix)``.
+
+    ``best`` is the node's least ``(no_id, id, h)``, ``n`` its set's size, ``fp`` its fingerprint. The
+    prefix's last shingle is the ``last`` in order, of the frequent ones if ``often``.
+    """
     by_value = np.argsort(frequent)
     known = frequent[by_value]
+    names = ["id", "h", "node", "n", "fp", "often", "last", "prefix"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, sizes, prefixes = [], [], []
-            for t in b.column(2).to_pylist():
+            rows = []
+            for i, h, t in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
                 s = shingles(t)
                 at = np.searchsorted(known, s)
                 often = np.zeros(len(s), dtype=bool)
                 inside = at < len(known)
                 often[inside] = known[at[inside]] == s[inside]
-                places = by_value[at[often]]
-                ordered = np.concatenate((s[~often], s[often][np.argsort(places)]))
-                nodes.append(_node(s))
-                sizes.append(len(s))
-                prefixes.append(ordered[: len(s) - -(-4 * len(s) // 5) + 1])
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["id", "h", "node", "n", "prefix"],
-            )
-
-    rows = own.mapInArrow(run, "id long, h long, node long, n long, prefix array<long>")
+                places = np.sort(by_value[at[often]])
+                rare = s[~often]
+                prefix = np.concatenate((rare, frequent[places]))[: len(s) - -(-4 * len(s) // 5) + 1]
+                is_often = len(prefix) > len(rare)
+                last = int(places[len(prefix) - len(rare) - 1] if is_often else prefix[-1]) if len(prefix) else None
+                fp = int(np.uint64(simhash_of(s.view("<u8"))).astype(np.int64))
+                rows.append((i, h, _node(s), len(s), fp, is_often, last, prefix))
+            columns = zip(*rows, strict=True) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    found = own.mapInArrow(run, "id long, h long, node long, n long, fp long, often boolean, last long, prefix array<long>")
     best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h")).alias("best")
-    return checkpointed(rows.groupBy("node").agg(best, F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    return found.groupBy("node").agg(best, *[F.first(c).alias(c) for c in names[3:]])
 
 
 def _fit(n: str, m: str) -> Column:
@@ -102,11 +114,34 @@ def _pair(a: str, b: str) -> list[Column]:
     return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs that the prefixes do not rule out.
+
+    Whichever prefix ends first in the order: the other set has none of its shingles beyond its own
+    prefix, so they share what the prefixes share and at most the rest of that set.
+    """
+    left, right = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.struct("often", "last").alias(f"l{x}"), F.col("prefix").alias(f"p{x}")) for x in "ab")
+    rest = F.when(F.col("la") <= F.col("lb"), F.col("na") - F.size("pa")).otherwise(F.col("nb") - F.size("pb"))
+    common = F.size(F.array_intersect("pa", "pb")) + rest
+    return pairs.join(left, "a").join(right, "b").where(9 * common >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def _verified(pairs: DataFrame, own: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of distinct ``pairs`` that are similar enough."""
+    scratch = Scratch(own.sparkSession)
+    pairs = scratch.store("pairs", _possible(pairs, nodes))
+    looked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ones = scratch.store("ones", nodes.join(looked, "node", "left_semi").select(F.col("best.no_id").alias("no_id"), F.coalesce("best.id", F.lit(0)).alias("one_id"), F.col("best.h").alias("h")))
+    keyed = own.select(F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0)).alias("one_id"), "h", "text")
+    few = ones.count() <= NAMED
+    found = keyed.join(F.broadcast(ones) if few else ones, ones.columns, "left_semi").dropDuplicates(ones.columns)
+    sets = scratch.store("sets", _sets(found))
     left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
     both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return checkpointed(both.where(9 * common >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b"))
+    out = checkpointed(both.where(9 * common >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b"))
+    scratch.clear()
+    return out
 
 
 def _neighbours(rows: DataFrame, *order: Column | str) -> DataFrame:
@@ -116,39 +151,53 @@ def _neighbours(rows: DataFrame, *order: Column | str) -> DataFrame:
     return beside.where(F.col("other").isNotNull() & _fit("n", "m")).select(*_pair("node", "other")).distinct()
 
 
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """Pairs of nodes whose fingerprints are equal or within two bits; of equal ones, with the smallest node."""
+    first = checkpointed(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    same = nodes.join(first, "fp").where("node != first").select(*_pair("node", "first"))
+    left, right = first.toDF("a", "first_a"), first.toDF("b", "first_b")
+    near = links(first.select("fp")).join(left, "a").join(right, "b").select(*_pair("first_a", "first_b"))
+    return same.union(near)
+
+
 def _split(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """``rows`` of shingles whose nodes aren't of one component, with their ``root`` and that of ``most`` nodes."""
     named = rows.join(roots, "node", "left").select("node", "n", "s", "c", F.coalesce("root", "node").alias("root"))
     of_root = named.groupBy("s", "root").count()
     split = of_root.groupBy("s").agg(F.max(F.struct("count", "root"))["root"].alias("most"), F.count("*").alias("roots")).where("roots > 1").select("s", "most")
-    return checkpointed(named.join(split, "s"))
+    return named.join(split, "s")
 
 
-def _roots(own: DataFrame, nodes: DataFrame) -> DataFrame:
+def _roots(own: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """``(node, root)`` of the nodes that are in a group of more than one."""
     rows = nodes.select("node", "n", F.explode("prefix").alias("s"))
-    shared = checkpointed(rows.withColumn("c", F.count("*").over(Window.partitionBy("s"))).where("c > 1"))
+    shared = scratch.store("shared", rows.withColumn("c", F.count("*").over(Window.partitionBy("s"))).where("c > 1"))
     # by size, so a node that fits no neighbour fits no other
-    pairs = checkpointed(_neighbours(shared, "n"))
-    looked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ones = nodes.join(looked, "node", "left_semi").select(F.col("best.id").alias("one_id"), F.col("best.h").alias("one_h"))
-    found = own.join(ones, own.id.eqNullSafe(ones.one_id) & (own.h == ones.one_h), "left_semi").dropDuplicates(["id", "h"])
-    sets = checkpointed(_sets(found))
-    edges = _verified(pairs, sets)
-    left = _split(shared, components(edges))
+    pairs = scratch.store("pairs", _neighbours(shared, "n").union(_by_fingerprint(nodes)).distinct())
+    edges = _verified(pairs, own, nodes)
+    left = scratch.store("left", _split(shared, components(edges)))
+    scratch.drop("shared")
     mixed = _neighbours(left.where(f"c > {HOT}"), F.xxhash64("node", F.pmod("s", F.lit(ORDERS))))
-    edges = edges.union(_verified(mixed.join(pairs, ["a", "b"], "left_anti"), sets))
-    left = _split(left.drop("root", "most"), components(edges))
-    apart = left.where("root != most").select("s", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"))
-    cross = left.join(apart, "s").where((F.col("root") != F.col("other_root")) & _fit("n", "m")).select(*_pair("node", "other")).distinct()
-    return components(edges.union(_verified(cross.join(pairs, ["a", "b"], "left_anti"), sets)))
+    edges = edges.union(_verified(mixed.join(pairs, ["a", "b"], "left_anti"), own, nodes))
+    apart = scratch.store("apart", _split(left.drop("root", "most"), components(edges)))
+    scratch.drop("left")
+    others = apart.where("root != most").select("s", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"))
+    cross = apart.join(others, "s").where((F.col("root") != F.col("other_root")) & _fit("n", "m")).select(*_pair("node", "other")).distinct()
+    return components(edges.union(_verified(cross.join(pairs, ["a", "b"], "left_anti"), own, nodes)))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near copies in ``docs``: that with the smallest id, nulls last, and of
-    rows with that id the one whose text has the smallest hash. Columns are those of ``docs``."""
+    rows with that id the one whose text has the smallest hash. Columns are those of ``docs``.
+
+    Null, empty and wordless texts have the empty set and are one group. Equal rows are one. An empty
+    table gives an empty one.
+    """
     own = _own(docs, id_col, text_col)
-    nodes = _nodes(own, _frequent(own))
-    roots = _roots(own, nodes)
+    scratch = Scratch(docs.sparkSession)
+    nodes = scratch.store("nodes", _nodes(own, _frequent(own)))
+    roots = _roots(own, nodes, scratch)
     named = nodes.select("node", "best").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "best")
-    return first_of_each(docs, named.groupBy("root").agg(F.min("best").alias("best")), id_col, text_col)
+    lowest = checkpointed(named.groupBy("root").agg(F.min("best").alias("best")))
+    scratch.clear()
+    return first_of_each(docs, lowest, id_col, text_col)

@@ -8,8 +8,9 @@ import pytest
 import regex
 from conftest import SMALL
 from pyspark.sql import functions as F
+from test_near_copies import brute_kept
 from test_other_operators import brute_schedule
-from test_text_operators import base_rules, brute_components
+from test_text_operators import base_rules
 
 from tidemark.llm import quality_rules, queries, secrets
 
@@ -39,8 +40,8 @@ def plain_stages(docs):
         if not failed and 100 * lost <= 50 * word_chars:
             kept.append((i, cleaned, source))
     kept.sort()
-    _, roots = brute_components([t for _, t, _ in kept])
-    ones = [x for n, x in enumerate(kept) if roots[n] == n]
+    stay = brute_kept({i: t for i, t, _ in kept})
+    ones = [x for x in kept if x[0] in stay]
     masked = [(i, secrets.mask(t), s) for i, t, s in ones]
     by = {}
     for i, _, s in masked:

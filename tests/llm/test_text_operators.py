@@ -203,8 +203,8 @@ def test_simhash_components(spark):
     assert sorted(r.doc_id for r in kept) == sorted(set(roots))
 
 
-@pytest.mark.parametrize("hot", [2, 4, 64])
-def test_simhash_links_have_all_components(spark, hot):
+@pytest.mark.parametrize(("hot", "parts"), [(2, None), (4, None), (64, None), (64, 2), (4, 2)])
+def test_simhash_links_have_all_components(spark, hot, parts):
     """Dense clusters, so that each way of linking is used."""
     rng = random.Random(hot)
     points = set()
@@ -216,7 +216,7 @@ def test_simhash_links_have_all_components(spark, hot):
                 x ^= 1 << rng.randrange(64)
             points.add(x)
     points = [p - (1 << 64) if p >> 63 else p for p in points]
-    edges = simhash.links(spark.createDataFrame([(p,) for p in points], "fp long"), hot=hot)
+    edges = simhash.links(spark.createDataFrame([(p,) for p in points], "fp long"), hot=hot, parts=parts)
     roots = {r.node: r.root for r in simhash.components(edges).collect()}
     mask = (1 << 64) - 1
     for i, a in enumerate(points):
@@ -237,6 +237,13 @@ def test_simhash_links_have_all_components(spark, hot):
     assert {p: roots.get(p, p) for p in points} == label
 
 
+def test_components_of_a_hub_and_a_path(spark):
+    hub = [(i, 0) for i in range(1, 9000)]
+    path = [(20_000 + i + 1, 20_000 + i) for i in range(300)]
+    edges = spark.createDataFrame(hub + path + [(5, 5), (1, 0)], "a long, b long")
+    assert {r.node: r.root for r in simhash.components(edges).collect()} == {i: 0 for i in range(1, 9000)} | {20_000 + i: 20_000 for i in range(1, 301)}
+
+
 def test_simhash_repeats_nulls_and_empty(spark, odd):
     docs = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (None, "a b c d"), (None, "x y z"), (None, "x y z"), (7, None), (8, "")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()), key=str)

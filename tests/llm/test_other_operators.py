@@ -125,6 +125,25 @@ def test_mixing_rows(spark):
     assert in_order.columns == ["doc_id", "source", "text"] and in_order.count() == len(rows)
 
 
+def test_mixing_equal_rows_have_their_own_places(spark):
+    docs = spark.range(2000).selectExpr("cast(null as long) as doc_id", "if(id % 2 = 0, 'a', 'b') as source").union(spark.sql("select 7L, 'a'"))
+    rows = mixing.mix(docs, {"a": 1, "b": 1}, block_rows=16).collect()
+    assert len(rows) == 2001 and len({(r.mix_slot, r.mix_place) for r in rows}) == 2001
+    assert max(r.mix_place for r in rows) == 15 and sorted(r.mix_slot for r in rows)[-1] == 125
+
+
+def test_schedule_of_many_sources():
+    import time
+
+    began = time.perf_counter()
+    blocks = {f"s{i:04d}": 5 + i for i in range(1500)}
+    plan = mixing.phases(dict.fromkeys(blocks, 1), blocks)
+    assert time.perf_counter() - began < 30
+    assert all(sum(last - first + 1 for first, last, *_ in plan[s]) == n for s, n in blocks.items())
+    with pytest.raises(ValueError, match="slots"):
+        mixing.phases({"a": 10_000_000, "b": 1}, {"a": 5, "b": 5})
+
+
 PAGE = """<!DOCTYPE html><html><head><title>{t}</title><script>var a="<p>no</p>";</script></head><body><header><h2>Site</h2></header>
 <nav><ul><li><a href=/>Home</a><li><a href=/x>{n}</a></ul></nav><div class="cookie-notice">We use cookies</div>
 <article><h1>{t} &amp; more</h1><p>First<b>bold</b>  para{n}<br>line<p>Second&nbsp;one &lt;{n}&gt;<div class="advert">Buy {n}</div><form><p>Mail</p><input></form>

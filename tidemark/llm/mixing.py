@@ -10,6 +10,7 @@ go on with their weights in a new phase; there are at most as many phases as sou
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Mapping
 from heapq import heapify, heappop, heappush
 
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 
-#: The schedule has a row for each source, which the driver makes and sends to all tasks.
-MAX_SOURCES = 10_000
+#: The driver makes the schedule, a row for each source, and sends it to all tasks: so many sources, and
+#: so many slots in the periods of all phases, which are as many as sources that end at different slots.
+MAX_SOURCES, MAX_SLOTS = 3_000, 5_000_000
 
 
 def period(weights: Mapping[str, int]) -> list[str]:
@@ -45,22 +47,28 @@ def phases(weights: Mapping[str, int], blocks: Mapping[str, int], start: int = 0
     """How a source's blocks turn into slots: ``(first, last, start, length, offsets)`` for each phase.
 
     Block b, first <= b <= last, has slot start + (b - first) // n * length + offsets[(b - first) % n]
-    with n = len(offsets).
+    with n = len(offsets). More than ``MAX_SLOTS`` slots in all periods are an error.
     """
+    slots = 0
     left = {s: n for s, n in blocks.items() if n > 0}
     done = dict.fromkeys(left, 0)
     out: dict[str, list[tuple]] = {s: [] for s in left}
     while left:
         own = {s: weights[s] for s in left}
+        slots += sum(own.values())
+        if slots > MAX_SLOTS:
+            raise ValueError(f"the schedule has more than {MAX_SLOTS} slots; give smaller weights or fewer sources")
         order = period(own)
-        places = {s: [t for t, x in enumerate(order) if x == s] for s in own}
+        places: dict[str, list[int]] = {s: [] for s in own}
+        for t, s in enumerate(order):
+            places[s].append(t)
         ends = []
         for s in own:
             whole, rest = divmod(left[s] - 1, own[s])
             ends.append(whole * len(order) + places[s][rest] + 1)  # the slot after its last block
         whole, rest = divmod(min(ends), len(order))
         for s in own:
-            took = whole * own[s] + sum(t < rest for t in places[s])
+            took = whole * own[s] + bisect_left(places[s], rest)
             out[s].append((done[s], done[s] + took - 1, start, len(order), places[s]))
             done[s] += took
             left[s] -= took
@@ -74,15 +82,18 @@ def mix(docs: DataFrame, weights: Mapping[str, int], default: int = 1, block_row
 
     Every row stays, once. A source without a weight gets ``default``, and so does a null source,
     which is a source of its own; a source with a weight of 0 or less comes after all others. In a
-    source, rows go by id, nulls first, then by a hash of ``text_col`` if given; rows equal in all
-    of these stay together at the place of the first. A slot holds ``block_rows`` rows of one
-    source, its last block perhaps fewer. Columns of ``docs`` named like the two are replaced. More
-    than ``MAX_SOURCES`` sources are an error.
+    source, rows go by id, nulls first, then by a hash of ``text_col`` if given, then by hashes of
+    the whole row; equal rows have places of their own side by side. A slot holds ``block_rows`` rows
+    of one source, its last block perhaps fewer. An empty table gives an empty one. Columns of
+    ``docs`` named like the two are replaced. More than ``MAX_SOURCES`` sources are an error.
     """
     docs = docs.drop("mix_slot", "mix_place")
     source = F.coalesce(F.concat(F.lit("="), F.col(f"`{source_col}`").cast("string")), F.lit("-"))
     tie = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))) if text_col else F.lit(0).cast("long")
-    key = {"mix_source": source, "mix_id": F.col(f"`{id_col}`"), "mix_tie": tie}
+    whole = [F.col(f"`{c}`") for c in docs.columns]
+    seen = [*whole, *[c.isNull() for c in whole]]  # a null alone leaves a hash as it is
+    row = {"mix_row": F.xxhash64(F.lit(1), *seen), "mix_row2": F.xxhash64(F.lit(2), *seen)}
+    key = {"mix_source": source, "mix_id": F.col(f"`{id_col}`"), "mix_tie": tie} | row
     keys = docs.select(*[c.alias(k) for k, c in key.items()]).groupBy(*key).agg(F.count("*").alias("n"))
     dealt = keys.repartitionByRange(*key).withColumn("part", F.spark_partition_id())
     dealt = checkpointed(dealt)
@@ -101,21 +112,21 @@ def mix(docs: DataFrame, weights: Mapping[str, int], default: int = 1, block_row
     plan |= phases(dict.fromkeys(rest, 1), rest, end)
     schema = "mix_source string, phases array<struct<first:long,last:long,start:long,length:long,offsets:array<long>>>"
     table = docs.sparkSession.createDataFrame(list(plan.items()), schema)  # a row for each source
-    inside = Window.partitionBy("mix_source", "part").orderBy("mix_id", "mix_tie").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("mix_source", "part").orderBy("mix_id", "mix_tie", "mix_row", "mix_row2").rowsBetween(Window.unboundedPreceding, -1)
     ranked = dealt.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
     ranked = ranked.join(parts.drop("n"), ["mix_source", "part"]).withColumn("rank", F.col("before") + F.col("inside"))
-    block = F.floor(F.col("rank") / block_rows).cast("long")
-    placed = ranked.withColumn("block", block).join(F.broadcast(table), "mix_source")
+    # equal rows meet as one row and their number, so that a row however often repeated is no task's group
+    copies = docs.select(*[c.alias(k) for k, c in row.items()], F.struct(*whole).alias("row")).groupBy(*row).agg(F.first("row").alias("row"))
+    rows = copies.join(ranked, list(row)).select("mix_source", "row", F.explode(F.sequence(F.col("rank"), F.col("rank") + F.col("n") - 1)).alias("rank"))
+    placed = rows.withColumn("block", F.floor(F.col("rank") / block_rows).cast("long")).join(F.broadcast(table), "mix_source")
 
     def slot(p):
         since, n = F.col("block") - p["first"], F.size(p["offsets"])
         return p["start"] + F.floor(since / n) * p["length"] + F.get(p["offsets"], (since % n).cast("int"))
 
     at = F.transform(F.filter("phases", lambda p: (F.col("block") >= p["first"]) & (F.col("block") <= p["last"])), slot)[0]
-    placed = placed.select(*key, at.cast("long").alias("mix_slot"), (F.col("rank") % block_rows).cast("long").alias("mix_place"))
-    named = docs.withColumns(key)
-    same = (named.mix_source == placed.mix_source) & named.mix_id.eqNullSafe(placed.mix_id) & (named.mix_tie == placed.mix_tie)
-    return named.join(placed, same).select(*[named[f"`{c}`"] for c in docs.columns], placed.mix_slot, placed.mix_place)
+    placed = placed.select("row", at.cast("long").alias("mix_slot"), (F.col("rank") % block_rows).cast("long").alias("mix_place"))
+    return placed.select("row.*", "mix_slot", "mix_place")
 
 
 def mixed_documents(docs: DataFrame, weights: Mapping[str, int]) -> DataFrame:

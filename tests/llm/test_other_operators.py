@@ -225,6 +225,24 @@ def test_topk_stops_early():
     assert max(seen) < 5000
 
 
+def test_topk_stops_by_the_bound(spark):
+    """On the table of 64 dimensions and on a full block, most lists and most vectors are never read."""
+    vectors = spark.read.parquet(f"{SMALL.replace('0.001', '0.1')}/embeddings.parquet")
+    n = vectors.count()
+    rows = topk.search(vectors, "vec_id % 50 = 0", effort=True).where("rank = 1").collect()
+    assert len(rows) == n // 50
+    assert all(r.scored < n / 3 and r.read < n * 64 * 0.9 for r in rows)
+    rng = np.random.default_rng(3)
+    few = np.array([r.embedding for r in vectors.limit(2000).collect()])
+    whole = np.floor(256 * (np.tile(few, (9, 1))[:16_384] + rng.normal(0, 0.02, (16_384, 64)))).astype(np.int64)
+    block = topk.Block(np.arange(16_384), whole)
+    for i in range(0, 16_384, 1000):
+        hits = block.search(i, whole[i], 5)
+        scores = whole @ whole[i]
+        assert hits == [(int(j), int(scores[j])) for j in np.lexsort((np.arange(16_384), -scores)) if j != i][:5]
+        assert block.scored < 16_384 / 4 and block.read < 16_384 * 64 * 0.8
+
+
 def test_quality_model(spark):
     docs, labels = (spark.read.parquet(f"{SMALL.replace('0.001', '0.1')}/{t}.parquet") for t in ("documents", "labels"))
     rated = docs.join(labels, "doc_id").select("doc_id", "text", quality_model.grade(F.col("quality"), F.col("toxic")).alias("grade"), (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held"))

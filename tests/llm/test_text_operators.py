@@ -266,7 +266,9 @@ def test_simhash_links_have_all_components(spark, hot, parts):
     assert {p: roots.get(p, p) for p in points} == label
 
 
-def test_components_of_a_hub_and_a_path(spark):
+@pytest.mark.parametrize("light", [0, 200_000])
+def test_components_of_a_hub_and_a_path(spark, monkeypatch, light):
+    monkeypatch.setattr(simhash, "LIGHT", light)
     hub = [(i, 0) for i in range(1, 9000)]
     path = [(20_000 + i + 1, 20_000 + i) for i in range(300)]
     edges = spark.createDataFrame(hub + path + [(5, 5), (1, 0)], "a long, b long")

@@ -1,6 +1,12 @@
 """Main text of whole hosts, long pages and deep pages."""
 
-from tidemark.llm import html_extract
+import html
+import random
+import re
+
+from conftest import SMALL
+
+from tidemark.llm import html_extract, html_tree
 
 
 def test_every_page_of_a_host_has_a_group(spark):
@@ -28,10 +34,6 @@ def test_long_lists_are_aligned():
 
 
 def test_long_and_short_lists_have_the_same_pairs():
-    import random
-
-    from tidemark.llm import html_tree
-
     rng = random.Random(4)
     for n, m in ((5, 7), (40, 3), (60, 90), (150, 150)):
         a, b = (html_tree.parse("".join(rng.choice(("<p>", "<h2>", "<div><b></b></div>", "<div><i></i><b></b></div>")) for _ in range(k))) for k in (n, m))
@@ -57,3 +59,61 @@ def test_head_ends_without_its_tag():
     for start in ("<head><title>t</title><meta charset=utf-8><body>", "<head><title>t</title>", "<head><link rel=x href=y>\n"):
         for text in ("<p>All of it</p>", "All of it"):
             assert html_extract.extract([start + text]) == ["All of it"]
+
+
+def _neutral(page):
+    """A page without any mark-up that tells its main text."""
+    page = re.sub(r"<(/?)(?:article|nav|aside|header|footer|section|form|main)\b[^>]*>", r"<\1div>", page)
+    return re.sub(r"""\s(?:class|id|role)=("[^"]*"|'[^']*'|\S+)""", "", page)
+
+
+def _article(page):
+    body = page[page.index("<article>") + 9 : page.index("</article>")]
+    blocks = (re.sub(r"\s+", " ", html.unescape(re.sub(r"</?b>", "", x).replace("<br>", " "))).strip() for x in re.split(r"</?(?:p|h1)>", body))
+    return "\n\n".join(b for b in blocks if b)
+
+
+def test_alignment_finds_the_text_without_mark_up(spark, monkeypatch):
+    hosts = {}
+    for r in spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/pages.parquet").collect():
+        hosts.setdefault(r.url.split("/")[2].lower(), []).append(r.html)
+    hosts = {h: pages for h, pages in hosts.items() if len(pages) >= 3}
+    assert sum(map(len, hosts.values())) > 200
+
+    def right():
+        return sum(text == _article(p) for pages in hosts.values() for p, text in zip(pages, html_extract.extract([_neutral(p) for p in pages]), strict=True))
+
+    assert right() == sum(map(len, hosts.values()))
+    monkeypatch.setattr(html_extract, "align", lambda a, b, shapes=None: [(a, b)])
+    assert right() == 0
+
+
+def test_constant_blocks_go_wherever_they_stand():
+    page = "<body><div><p>Since 1900 at your service</p></div>{late}<div><h1>Title {i}</h1><p>Text {i} tells of {i} things.</p><p>Read all of it as often as you like</p><p>And more of {i}, so that there is enough to read.</p></div></body>"
+    late = "<table><tr><td>Now open on Sundays</td></tr></table>"
+    # the first page lacks a part that most others have
+    pages = [page.format(i=i * 7, late=late if i else "") for i in range(6)]
+    for i, text in enumerate(html_extract.extract(pages)):
+        assert text == f"Title {i * 7}\n\nText {i * 7} tells of {i * 7} things.\n\nAnd more of {i * 7}, so that there is enough to read."
+
+
+def test_alignment_against_all_matchings():
+    rng = random.Random(8)
+
+    def tree(depth):
+        kids = "".join(tree(depth - 1) for _ in range(rng.randint(0, 3))) if depth else ""
+        return f"<div class={rng.choice('ab')}>{kids}</div>"
+
+    def size(a, b):
+        return 1 + best(a.elements(), b.elements()) if a.label == b.label else 0
+
+    def best(xs, ys):
+        if not xs or not ys:
+            return 0
+        return max(best(xs[1:], ys), best(xs, ys[1:]), size(xs[0], ys[0]) + best(xs[1:], ys[1:]))
+
+    for _ in range(150):
+        a, b = html_tree.parse(tree(3)), html_tree.parse(tree(3))
+        pairs = html_tree.align(a, b)
+        assert len(pairs) == size(a, b)
+        assert all(x.label == y.label for x, y in pairs) and len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == len(pairs)

@@ -1,9 +1,12 @@
 """Main text of web pages by wrapper induction.
 
 Pages of a host are taken in groups of bounded size. In a group, the trees of different pages are
-aligned with a pivot page by simple tree matching: a node that has the same text on most pages is
-template, what varies is a slot. Of the slots, blocks that mark-up itself declares to be menus,
-adverts, forms, comments and the like are left out; an article or main element bounds the text.
+aligned with two pivot pages by simple tree matching: a node that has the same text on most pages is
+template, what varies is a slot. The pivots are the page with the most elements and the first one, so
+that a part that one of them lacks is still met. The main region is found by the slots' text: from the
+root on, the container that holds most of what varies, over all pages, as long as one does. Where
+mark-up has an article or main element, that is the region. Within it, blocks that mark-up declares
+to be menus, adverts, forms, comments and the like are left out.
 """
 
 from __future__ import annotations
@@ -26,6 +29,10 @@ NOT_MAIN_WORDS = frozenset(
     "footer masthead sidebar side widget widgets cookie cookies consent gdpr notice notification popup modal overlay newsletter subscribe subscription signup login share sharing social "
     "related recommended recommendations trending popular comment comments disqus respond reply replies discussion pagination pager toolbar tags search skip banner copyright legal".split()
 )
+#: Elements that can hold a page's main region.
+_CONTAINERS = frozenset("html body div main article section center table tbody tr td form".split())
+#: A container is gone into if it holds so much of what varies.
+REGION_SHARE = 0.6
 _WORD = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -99,26 +106,80 @@ def _linked(n: Node) -> bool:
     return links * 2 > whole
 
 
+def _elements(root: Node) -> Iterator[tuple[Node, Node]]:
+    """``(parent, element)`` of a tree, parents first."""
+    todo = [root]
+    while todo:
+        n = todo.pop()
+        for c in n.elements():
+            yield n, c
+            todo.append(c)
+
+
+def _region(pivot: Node, trees: list[Node], maps: list[dict[int, int]], texts: list[list[tuple[Node, int]]]) -> list[set[int]]:
+    """The nodes of each page that lie in its main region; none for a page without that region.
+
+    ``maps`` gives the pivot's node for each aligned one, ``texts`` the varying text of nodes by its size.
+    Text of a node without a counterpart counts for the nearest node above it that has one.
+    """
+    mass: Counter = Counter()
+    for tree, of, own in zip(trees, maps, texts, strict=True):
+        anchor = {id(tree): id(pivot)}
+        for p, c in _elements(tree):
+            anchor[id(c)] = of.get(id(c), anchor[id(p)])
+        for n, size in own:
+            mass[anchor[id(n)]] += size
+    total = Counter(mass)
+    for p, c in reversed(list(_elements(pivot))):
+        total[id(p)] += total[id(c)]
+    now = pivot
+    while not _is_main(now):
+        inner = [c for c in now.elements() if c.tag in _CONTAINERS and total[id(c)] > REGION_SHARE * total[id(now)]]
+        if not inner:
+            break
+        now = inner[0]
+    out: list[set[int]] = []
+    for tree, of in zip(trees, maps, strict=True):
+        inside = {id(tree)} if now is pivot else set()
+        for p, c in _elements(tree):
+            if id(p) in inside or of.get(id(c)) == id(now):
+                inside.add(id(c))
+        out.append(inside)
+    return out
+
+
 def extract(pages: list[str], same_host: bool = True) -> list[str]:
-    """The main text of each page; pages of one host, given as HTML, show each other's template."""
+    """The main text of each page; pages of one host, given as HTML, show each other's template.
+
+    Fewer than three distinct pages show none; their mark-up decides alone. Pages that say the same
+    count once.
+    """
     trees = [parse(p) for p in pages]
     shown = [_blocks(t) for t in trees]
     constant: list[set[tuple[int, int]]] = [set() for _ in pages]
+    regions: list[set[int]] = [set() for _ in pages]
     first = {tuple(b[2] for b in s): i for i, s in reversed(list(enumerate(shown)))}  # pages that say the same count once
     distinct = sorted(first.values())
     if same_host and len(distinct) >= 3:
-        pivot = trees[distinct[0]]
         shapes = Shapes()
-        slot = [{id(y): id(x) for x, y in align(pivot, t, shapes)} for t in trees]
-        said: dict[tuple[int, int], Counter] = defaultdict(Counter)
-        for i in distinct:
-            for n, run, text, _, _ in shown[i]:
-                if id(n) in slot[i]:
-                    said[slot[i][id(n)], run][text] += 1
-        for i, s in enumerate(shown):
-            for n, run, text, _, _ in s:
-                if id(n) in slot[i] and said[slot[i][id(n)], run][text] >= max(3, 0.6 * len(distinct)):
-                    constant[i].add((id(n), run))
+        elements = {i: sum(1 for _ in _elements(trees[i])) for i in distinct}
+        largest = max(distinct, key=lambda i: (elements[i], -i))
+        for p in dict.fromkeys((largest, distinct[0])):
+            slot = [{id(y): id(x) for x, y in align(trees[p], t, shapes)} for t in trees]
+            said: dict[tuple[int, int], Counter] = defaultdict(Counter)
+            for i in distinct:
+                for n, run, text, _, _ in shown[i]:
+                    if id(n) in slot[i]:
+                        said[slot[i][id(n)], run][text] += 1
+            for i, s in enumerate(shown):
+                for n, run, text, _, _ in s:
+                    if id(n) in slot[i] and said[slot[i][id(n)], run][text] >= max(3, 0.6 * len(distinct)):
+                        constant[i].add((id(n), run))
+            if p == largest:
+                largest_slot = slot
+        varying = [[(n, len(text)) for n, run, text, left, _ in s if not left and (id(n), run) not in constant[i]] for i, s in enumerate(shown)]
+        counted = [x if i in set(distinct) else [] for i, x in enumerate(varying)]
+        regions = _region(trees[largest], trees, largest_slot, counted)
     out = []
     for i, s in enumerate(shown):
         kept = [b for b in s if not b[3]]
@@ -126,6 +187,7 @@ def extract(pages: list[str], same_host: bool = True) -> list[str]:
         if bounded:
             kept = [b for b in kept if b[4]]
         else:
+            kept = [b for b in kept if id(b[0]) in regions[i]] or kept
             kept = [b for b in kept if not (_linked(b[0]) and len(b[2]) < 120)]
         varying = [b for b in kept if (id(b[0]), b[1]) not in constant[i]]
         # near copies on a host repeat their article too: that is no template

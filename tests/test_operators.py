@@ -107,6 +107,10 @@ def test_positions(spark):
     archives = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "sequence long, first_scn long")
     asked = spark.createDataFrame([(5,), (10,), (29,), (99,)], "scn long")
     assert sorted(map(tuple, positions.archive_for(archives, asked).collect())) == [(5, None), (10, 1), (29, 2), (99, 3)]
+    ties = spark.createDataFrame([(4, 10), (3, 10), (9, None)], "sequence long, first_scn long")
+    assert sorted(map(tuple, positions.archive_for(ties, asked.union(spark.sql("select cast(null as long)"))).collect()), key=str) == [(10, 4), (29, 4), (5, None), (99, 4), (None, None)]
+    threads = spark.createDataFrame([(1, 4, 10), (1, 3, 5), (2, 1, None), (2, 2, 8)], "thread int, sequence long, first_scn long")
+    assert sorted(map(tuple, positions.earliest_archive(threads).collect())) == [(1, 3, 5), (2, 2, 8)]
     assert positions.start_position(None, None, 7) == 7 and positions.start_position(None, 3, 7) == 3 and positions.start_position(5, 3, 7) == 5
     with pytest.raises(ValueError, match="lose changes"):
         positions.start_position(5, 6, 7)
@@ -128,7 +132,30 @@ def test_schema_history(spark):
     assert {(r.object_id, r.scn): r.source_no for r in tried.collect()}[(1, 19)] == 1
     with pytest.raises(Exception, match="no structure is proved for object"):
         schemas.proved(tried).collect()
-    assert schemas.proved(tried.where("structure is not null")).count() == 4
+    assert len(schemas.proved(tried.where("structure is not null")).collect()) == 4
+
+
+@pytest.mark.parametrize("width", [None, 2, 7, 1000])
+def test_a_drop_is_knowledge(spark, width):
+    rows = "object_id long, effective_scn long, structure string, tombstone boolean"
+    first, second = spark.createDataFrame([(1, 5, "A", False), (1, 10, None, True)], rows), spark.createDataFrame([(1, 5, "OLD", False), (2, 3, "B", False)], rows)
+    changes = spark.createDataFrame([(1, 4), (1, 7), (1, 20), (2, 3), (2, 2), (None, 9)], "object_id long, scn long")
+    got = {(r.object_id, r.scn): (r.structure, r.source_no) for r in schemas.with_fallbacks(changes, first, second, width=width).collect()}
+    assert got == {(1, 4): (None, None), (1, 7): ("A", 0), (1, 20): (None, 0), (2, 3): ("B", 1), (2, 2): (None, None), (None, 9): (None, None)}
+
+
+def test_hot_objects_are_cut_by_ranges(spark, monkeypatch):
+    """Nine of ten changes are of one object; ranges come from the data."""
+    monkeypatch.setattr(order, "ROWS", 50)
+    rng = random.Random(6)
+    versions = sorted(rng.sample(range(3000), 60))
+    history = spark.createDataFrame([(1 if i % 3 else 2, s, f"v{s}", False) for i, s in enumerate(versions)], "object_id long, effective_scn long, structure string, tombstone boolean")
+    points = [(1 if rng.random() < 0.9 else 2, rng.randrange(3000) ** 2 // 3000) for _ in range(2000)]
+    changes = spark.createDataFrame(points, "object_id long, scn long")
+    assert len(order.cuts(changes, "scn")) > 20
+    found = {(r.object_id, r.scn): r.version_scn for r in schemas.as_of(changes, history).collect()}
+    own = {1: [s for i, s in enumerate(versions) if i % 3], 2: versions[::3]}
+    assert found == {(o, s): max((v for v in own[o] if v <= s), default=None) for o, s in points}
 
 
 def test_ddl(spark):
@@ -191,12 +218,15 @@ def test_numbers_and_types(spark):
     assert {r.t: r.n for r in rows.withColumn("n", types.number_text(F.col("t"))).collect()} == texts
     one = spark.range(1)
     got = one.select(
-        types.typed(2, F.lit("12.345"), 5, 2).cast("string").alias("a"), types.typed(12, F.lit("2024-02-29 23:59:59")).alias("b"), types.typed(23, F.lit("6162")).alias("c"),
+        types.typed(2, F.lit("12.340"), 5, 2).cast("string").alias("a"), types.typed(12, F.lit("2024-02-29 23:59:59")).alias("b"), types.typed(23, F.lit("6162")).alias("c"),
         types.typed(101, F.lit("NaN")).alias("d"), types.typed(181, F.lit("2024-01-01 00:00:00 +02:00")).alias("e"), types.typed(182, F.lit("1-2")).cast("string").alias("f"),
         types.typed(183, F.lit("1 02:03:04.5")).alias("g"), types.typed(252, F.lit("true")).alias("h"), types.typed(999, F.lit("x")).alias("i"), types.typed(231, F.lit("2024-01-01 00:00:00")).alias("j"),
     ).first()
-    assert got.a == "12.35" and str(got.b) == "2024-02-29 23:59:59" and bytes(got.c) == b"ab" and got.d != got.d and got.e.zone == "+02:00"
+    assert got.a == "12.34" and str(got.b) == "2024-02-29 23:59:59" and bytes(got.c) == b"ab" and got.d != got.d and got.e.zone == "+02:00"
     assert got.f == "INTERVAL '1-2' YEAR TO MONTH" and got.g.total_seconds() == 93784.5 and got.h is True and got.i == "?"
+    for code, text, more in ((2, "1.23456", (20, 4)), (180, "2024-01-01 00:00:00.123456789", ()), (181, "2024-01-01 00:00:00.1234567 Z", ()), (2, "x", (5, 2))):
+        with pytest.raises(Exception, match="decimal places|CAST_INVALID_INPUT"):
+            one.select(types.typed(code, F.lit(text), *more)).collect()
     kept = one.select(types.to_json(F.struct(F.lit(None).cast("string").alias("a"))).alias("j")).first().j
     assert kept == '{"a":null}'
 

@@ -57,15 +57,28 @@ def number_text(text: Column) -> Column:
     return F.when(text.rlike(_NUMBER), F.when(negative, F.concat(F.lit("-"), plain)).otherwise(plain))
 
 
+def _unless(bad: Column, text: Column, why: str, value: Column) -> Column:
+    return F.when(bad, F.raise_error(F.concat(text, F.lit(f" has {why}")))).otherwise(value)
+
+
 def typed(code: int, text: Column, precision: int | None = None, scale: int | None = None) -> Column:
-    """The value of a column of type ``code`` from its text; text that does not fit fails the job."""
+    """The value of a column of type ``code`` from its text.
+
+    Text that does not fit fails the job: also a number with more decimal places than ``scale``, and a
+    time with more than the six that Spark's types keep, as nothing may be lost unsaid.
+    """
     kind = TYPE_CODES.get(code)
     if kind is None:
         return F.lit(UNSUPPORTED)
     if kind == "number":
-        return text.cast(f"decimal({precision},{scale or 0})") if precision and precision <= 38 else number_text(text)
+        if not precision or precision > 38:
+            return number_text(text)
+        places = F.length(F.regexp_extract(number_text(text), r"\.(\d+)$", 1))
+        return _unless(places > (scale or 0), text, f"more than {scale or 0} decimal places", text.cast(f"decimal({precision},{scale or 0})"))
     if kind == "binary":
         return F.unhex(text)
+    if kind in ("zoned", "timestamp", "timestamp_ntz"):
+        text = _unless(text.rlike(r"\.\d{6}\d*[1-9]"), text, "more than six decimal places of a second", text)
     if kind == "zoned":
         zone = F.regexp_extract(text, r"([+-]\d\d:?\d\d|[A-Za-z_]+(?:/[A-Za-z_+\-0-9]+)*|Z)$", 1)
         return F.struct(F.to_timestamp(text).alias("utc"), zone.alias("zone"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import suffix_min
+from .order import last_known, suffix_min
 
 OPEN_END = (1 << 63) - 1
 
@@ -23,7 +23,7 @@ def durable_positions(records: DataFrame) -> DataFrame:
     return records.groupBy("thread", "sequence", "lwn").agg(F.max("scn").alias("durable_scn"))
 
 
-def low_watermarks(durable: DataFrame, txns: DataFrame, width: int = 1 << 20) -> DataFrame:
+def low_watermarks(durable: DataFrame, txns: DataFrame, width: int | None = None) -> DataFrame:
     """``durable`` with ``low_watermark``: the least first SCN of transactions open at that position.
 
     A transaction is open at d if first_scn <= d < end_scn, or for good if its outcome is OPEN. Of
@@ -40,27 +40,25 @@ def low_watermarks(durable: DataFrame, txns: DataFrame, width: int = 1 << 20) ->
     return low.select(*durable.columns, F.when(F.col("low") <= F.col("durable_scn"), F.col("low")).alias("low_watermark"))
 
 
-def archive_for(archives: DataFrame, scns: DataFrame) -> DataFrame:
+def archive_for(archives: DataFrame, scns: DataFrame, width: int | None = None) -> DataFrame:
     """``(scn, sequence)``: for each position the latest archive that starts at or before it.
 
-    ``archives`` has ``sequence, first_scn``; both sides are merged by position in ranges, so no range
-    join is needed.
+    ``archives`` has ``sequence, first_scn``; of several that start at the same position the highest
+    sequence is the latest. A null position, and one before all archives, has none. Archives without
+    a start count for nothing. Both sides are merged by position, so no range join is needed.
     """
-    points = archives.select(F.col("first_scn").alias("p"), F.lit(0).alias("k"), F.col("sequence"), F.lit(None).cast("long").alias("scn"))
-    asked = scns.select(F.col("scn").alias("p"), F.lit(1).alias("k"), F.lit(None).cast("long").alias("sequence"), "scn")
-    both = points.unionByName(asked)
-    return _last_before(both, "sequence").where("k = 1").select("scn", "sequence")
-
-
-def _last_before(both: DataFrame, value: str, width: int = 1 << 20) -> DataFrame:
-    """The last non-null ``value`` by ``p`` and ``k``, through ranges of ``p``."""
-    ranged = both.withColumn("r", F.floor(F.col("p") / width).cast("long"))
-    ends = ranged.groupBy("r").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("p"))).alias("end_value"))
-    before = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select("r", F.last("end_value", ignorenulls=True).over(before).alias("carried"))
-    inside = Window.partitionBy("r").orderBy("p", "k").rowsBetween(Window.unboundedPreceding, 0)
-    filled = ranged.join(ends, "r").withColumn(value, F.coalesce(F.last(value, ignorenulls=True).over(inside), "carried"))
-    return filled.drop("r", "carried")
+    none = F.lit(None).cast("long")
+    points = archives.where("first_scn is not null").select(F.col("first_scn").alias("p"), F.lit(0).alias("k"), F.col("sequence").cast("long").alias("sequence"), none.alias("scn"))
+    asked = scns.select(F.col("scn").alias("p"), F.lit(1).alias("k"), none.alias("sequence"), F.col("scn").cast("long").alias("scn"))
+    both = points.unionByName(asked.where("p is not null"))
+    found = last_known(both, [], ["p", "k", "sequence"], {"found": F.col("sequence")}, width).where("k = 1")
+    return found.select("scn", F.col("found").alias("sequence")).union(asked.where("p is null").select("scn", "sequence"))
+
+
+def earliest_archive(archives: DataFrame) -> DataFrame:
+    """``(thread, sequence, first_scn)`` of each thread's earliest archive, from which a dictionary can be replayed."""
+    first = archives.where("first_scn is not null").groupBy("thread").agg(F.min(F.struct("first_scn", "sequence")).alias("a"))
+    return first.select("thread", "a.sequence", "a.first_scn")
 
 
 def start_position(stored: int | None, configured: int | None, current: int) -> int:

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .order import running_sum
+from .order import ranged, running_sum
 
 
-def files(rows: DataFrame, order: str, size: str, limit: int, width: int = 1 << 20) -> DataFrame:
+def files(rows: DataFrame, order: str, size: str, limit: int, width: int | None = None) -> DataFrame:
     """``rows`` with ``file_no`` from 1: a file ends with the message that brings it to ``limit``.
 
     The counter starts anew in each file, so a file's end depends on its start. For every row
@@ -49,13 +49,13 @@ def files(rows: DataFrame, order: str, size: str, limit: int, width: int = 1 <<
     return rows.join(numbered.select(order, F.col("file_no").cast("long").alias("file_no")), order)
 
 
-def _followers(rows: DataFrame, order: str, width: int) -> DataFrame:
+def _followers(rows: DataFrame, order: str, width: int | None) -> DataFrame:
     """``(order, next)``: the value after each, null for the last."""
-    ranged = rows.withColumn("r", F.floor(F.col(order) / width).cast("long"))
-    lows = ranged.groupBy("r").agg(F.min(order).alias("low"))
+    cut = ranged(rows, order, width).withColumnRenamed("key_range", "r")
+    lows = cut.groupBy("r").agg(F.min(order).alias("low"))
     lows = lows.select("r", F.lead("low").over(Window.orderBy("r")).alias("after"))
     inside = Window.partitionBy("r").orderBy(order)
-    return ranged.join(lows, "r").select(order, F.coalesce(F.lead(order).over(inside), "after").alias("next"))
+    return cut.join(lows, "r").select(order, F.coalesce(F.lead(order).over(inside), "after").alias("next"))
 
 
 def file_name(number: Column, prefix: str = "changes") -> Column:

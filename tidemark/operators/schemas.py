@@ -12,46 +12,74 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import last_known
+
 
 def validity(history: DataFrame) -> DataFrame:
     """``history`` with ``valid_to``: the position from which the object's next version holds, or null."""
     return history.withColumn("valid_to", F.lead("effective_scn").over(Window.partitionBy("object_id").orderBy("effective_scn")))
 
 
-def as_of(changes: DataFrame, history: DataFrame, columns: Sequence[str] = ("structure",)) -> DataFrame:
+def _known(changes: DataFrame, histories: Sequence[DataFrame], columns: Sequence[str], width: int | None) -> DataFrame:
+    """``changes`` with ``version 0``, ``version 1``, ...: what each history last said of the object at the position."""
+    none = F.lit(None).cast("int")
+    both = changes.withColumns({"side": F.lit(1), "history": none})
+    for i, h in enumerate(histories):
+        version = F.struct(F.col("effective_scn").alias("version_scn"), F.coalesce("tombstone", F.lit(False)).alias("tombstone"), *columns)
+        points = h.select("object_id", F.col("effective_scn").alias("scn"), F.lit(0).alias("side"), F.lit(i).alias("history"), version.alias("version"))
+        both = both.unionByName(points, allowMissingColumns=True)
+    values = {f"version {i}": F.when(F.col("history") == i, F.col("version")) for i in range(len(histories))}
+    return last_known(both, ["object_id"], ["scn", "side"], values, width).where("side = 1")
+
+
+def as_of(changes: DataFrame, history: DataFrame, columns: Sequence[str] = ("structure",), width: int | None = None) -> DataFrame:
     """Each change with the version in force at its position: the nearest at or before it.
 
     Versions and changes are merged by object and position and the last version is carried on, so
-    an object's rows are sorted once and nothing is paired. Changes before any version, or
-    after a tombstone, get null columns and ``version_scn`` null.
+    nothing is paired; an object with a large share of all changes is cut by ranges of positions. Changes
+    before any version, or after a tombstone, get null columns and ``version_scn`` null.
     """
-    version = F.struct(F.col("effective_scn").alias("version_scn"), F.coalesce("tombstone", F.lit(False)).alias("tombstone"), *columns)
-    points = history.select("object_id", F.col("effective_scn").alias("scn"), F.lit(0).alias("side"), version.alias("version"))
-    both = changes.withColumn("side", F.lit(1)).unionByName(points, allowMissingColumns=True)
-    upto = Window.partitionBy("object_id").orderBy("scn", "side").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("version", F.last("version", ignorenulls=True).over(upto)).where("side = 1")
-    live = ~F.coalesce(F.col("version.tombstone"), F.lit(False))
-    return found.select(*changes.columns, *[F.when(live, F.col(f"version.{c}")).alias(c) for c in ("version_scn", *columns)])
+    found = _known(changes, [history], columns, width)
+    version = F.col("`version 0`")
+    live = ~F.coalesce(version["tombstone"], F.lit(False))
+    return found.select(*changes.columns, *[F.when(live, version[c]).alias(c) for c in ("version_scn", *columns)])
 
 
-def with_fallbacks(changes: DataFrame, *histories: DataFrame) -> DataFrame:
-    """``as_of`` over histories in order of trust; the first that knows the object at the position decides.
+def with_fallbacks(changes: DataFrame, *histories: DataFrame, width: int | None = None) -> DataFrame:
+    """The structure in force, from histories in order of trust: the first that knows the object at the position decides.
 
-    ``source_no`` tells which. Rows that none knows have null and must stop the job: see ``proved``.
+    ``source_no`` tells which. That an object was dropped is knowledge too: its structure is null then, and no later
+    history is asked. Rows that none knows have both null. Neither may be delivered: see ``proved``.
     """
-    found = changes
-    for i, h in enumerate(histories):
-        found = as_of(found, h).withColumnsRenamed({"structure": f"structure_{i}", "version_scn": f"version_{i}"})
-    order = range(len(histories))
-    pick = F.coalesce(*[F.when(F.col(f"version_{i}").isNotNull(), F.lit(i)) for i in order])
-    value = F.coalesce(*[F.when(F.col(f"version_{i}").isNotNull(), F.col(f"structure_{i}")) for i in order])
+    found = _known(changes, histories, ("structure",), width)
+    versions = [F.col(f"`version {i}`") for i in range(len(histories))]
+    pick = F.coalesce(*[F.when(v.isNotNull(), F.lit(i)) for i, v in enumerate(versions)])
+    first = F.coalesce(*versions)
+    value = F.when(~first["tombstone"], first["structure"])
     return found.select(*changes.columns, value.alias("structure"), pick.alias("source_no"))
 
 
 def proved(resolved: DataFrame) -> DataFrame:
-    """``resolved``, failing at run time on a change whose structure nothing proves."""
+    """``resolved``, failing at run time on a change whose structure nothing proves, or whose object was dropped."""
     message = F.concat(F.lit("no structure is proved for object "), F.col("object_id").cast("string"), F.lit(" at "), F.col("scn").cast("string"))
-    return resolved.withColumn("source_no", F.when(F.col("source_no").isNull(), F.raise_error(message).cast("int")).otherwise(F.col("source_no")))
+    return resolved.withColumn("structure", F.when(F.col("structure").isNull(), F.raise_error(message).cast("string")).otherwise(F.col("structure")))
+
+
+def initial_snapshot(structures: DataFrame, scn: int) -> DataFrame:
+    """History rows of the selected tables' whole structures (``object_id, structure``) when capture begins at ``scn``."""
+    return structures.select("object_id", F.lit(scn).cast("long").alias("effective_scn"), "structure", F.lit(False).alias("tombstone"), F.lit("initial").alias("source"))
+
+
+def by_data_object(changes: DataFrame, objects: DataFrame) -> DataFrame:
+    """``changes``, which name a ``data_object_id``, with ``object_id`` as it was at their position.
+
+    ``objects`` has ``data_object_id, object_id, effective_scn``: a truncate or a move gives a table a
+    new data object. Changes of data objects that are unknown at their position have null.
+    """
+    points = objects.select("data_object_id", F.col("effective_scn").alias("scn"), F.lit(0).alias("side"), F.col("object_id").alias("named"))
+    both = changes.drop("object_id").withColumn("side", F.lit(1)).unionByName(points, allowMissingColumns=True)
+    found = last_known(both, ["data_object_id"], ["scn", "side"], {"object_id": F.col("named")})
+    return found.where("side = 1").drop("side", "named")
 
 
 def apply_ddl(structure: list[dict], kind: str, detail: dict) -> list[dict] | None:

@@ -44,24 +44,32 @@ def without_undone(records: DataFrame) -> DataFrame:
     return marked.where(F.col("op").isin(*CHANGES) & live).drop("undone_from")
 
 
-def committed(records: DataFrame) -> DataFrame:
-    """Live changes of committed transactions, with ``commit_scn`` and ``pos``, their place in the transaction from 1."""
-    done = outcomes(records).where("outcome = 'COMMIT'").select(*KEY, F.col("end_scn").alias("commit_scn"))
+def _commits(records: DataFrame) -> DataFrame:
+    return outcomes(records).where("outcome = 'COMMIT'").select(*KEY, F.col("end_scn").alias("commit_scn"))
+
+
+def committed(records: DataFrame, commits: DataFrame | None = None) -> DataFrame:
+    """Live changes of committed transactions, with ``commit_scn`` and ``pos``, their place in the
+    transaction from 1. ``commits``: a row for each of these, with further columns to carry."""
+    done = _commits(records) if commits is None else commits
     place = Window.partitionBy(*KEY).orderBy("scn", "block_offset")
     return without_undone(records).join(done, list(KEY)).withColumn("pos", F.row_number().over(place).cast("long"))
 
 
-def in_commit_order(records: DataFrame, width: int = 1 << 20) -> DataFrame:
-    """``committed`` with ``commit_rank``; sort by ``(commit_rank, container, xid, pos)`` for delivery."""
-    return dense_rank(committed(records), "commit_scn", "commit_rank", width)
+def in_commit_order(records: DataFrame, width: int | None = None) -> DataFrame:
+    """``committed`` with ``commit_rank``; sort by ``(commit_rank, container, xid, pos)`` for delivery.
+
+    Transactions are ranked, a row for each, so a large one is no hot key.
+    """
+    return committed(records, dense_rank(_commits(records), "commit_scn", "commit_rank", width))
 
 
 def messages(changes: DataFrame) -> DataFrame:
     """A begin, each change and a commit as rows of ``kind, commit_scn, container, xid, pos, op``.
 
-    ``pos`` is 0 for begin and one past the last change for commit.
+    ``kind`` of a change is ``ddl`` or ``dml``; ``pos`` is 0 for begin and one past the last change for commit.
     """
-    own = changes.select(F.lit("dml").alias("kind"), "commit_scn", *KEY, "pos", "op")
+    own = changes.select(F.when(F.col("op") == "DDL", "ddl").otherwise("dml").alias("kind"), "commit_scn", *KEY, "pos", "op")
     ends = changes.groupBy(*KEY).agg(F.max("commit_scn").alias("commit_scn"), F.max("pos").alias("last"))
     frame = F.array(
         F.struct(F.lit("begin").alias("kind"), F.lit(0).cast("long").alias("pos")),

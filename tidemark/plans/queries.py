@@ -82,7 +82,7 @@ def schema_validity(spark, sf_dir):
     "(select arg_max(tombstone, effective_scn) from hist h where h.object_id = c.object_id and h.effective_scn <= c.scn and h.effective_scn % 4 = 0) as t0, "
     "(select arg_max(structure, effective_scn) from hist h where h.object_id = c.object_id and h.effective_scn <= c.scn) as s1, "
     "(select arg_max(tombstone, effective_scn) from hist h where h.object_id = c.object_id and h.effective_scn <= c.scn) as t1 from c) "
-    "select scn, object_id, case when not t0 then s0 when not t1 then s1 end as structure, case when not t0 then 0 when not t1 then 1 end::int as source_no from f"
+    "select scn, object_id, case when t0 is not null then case when not t0 then s0 end when not t1 then s1 end as structure, case when t0 is not null then 0 when t1 is not null then 1 end::int as source_no from f"
 )
 def schema_fallback(spark, sf_dir):
     changes = records(spark, sf_dir).where("op in ('UPDATE', 'DELETE')").select("scn", "object_id")
@@ -222,10 +222,31 @@ def roll_files(spark, sf_dir):
     return rolling.files(rows, "doc_id", "size", 100_000).select("doc_id", "file_no", rolling.file_name(F.col("file_no")).alias("file"))
 
 
-@query("select o_orderkey as scn, (select max(event_id // 100) from events where event_id % 100 = 0 and 10 * event_id <= o_orderkey) as sequence from orders", log=False)
+@query("select case when o_orderkey % 50 <> 0 then o_orderkey end as scn, (select max(event_id // 100) from events where event_id % 100 = 0 and 2000 * (event_id // 200) <= case when o_orderkey % 50 <> 0 then o_orderkey end) as sequence from orders", log=False)
 def archive_covering(spark, sf_dir):
-    archives = table(spark, sf_dir, "events").where("event_id % 100 = 0").select(F.floor(F.col("event_id") / 100).alias("sequence"), (10 * F.col("event_id")).alias("first_scn"))
-    return positions.archive_for(archives, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("scn")))
+    sequence = F.floor(F.col("event_id") / 100)  # two archives start at each position
+    archives = table(spark, sf_dir, "events").where("event_id % 100 = 0").select(sequence.alias("sequence"), (2000 * F.floor(sequence / 2)).alias("first_scn"))
+    return positions.archive_for(archives, table(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 50 != 0, F.col("o_orderkey")).alias("scn")))
+
+
+@query("select thread, min(sequence) as sequence, min(scn) as first_scn from rec group by 1")
+def earliest_archive(spark, sf_dir):
+    return positions.earliest_archive(records(spark, sf_dir).select("thread", "sequence", F.col("scn").alias("first_scn")))
+
+
+@query(
+    ", o as (select user_id * 10 as data_object_id, user_id as object_id, min(2 * event_id) as effective_scn from events group by 1, 2 union all "
+    "select (user_id - 1) * 10, user_id, max(2 * event_id) from events where user_id > 1 group by 1, 2) "
+    "select scn, r.object_id * 10 as data_object_id, (select arg_max(o.object_id, o.effective_scn * 100000 + o.object_id) from o where o.data_object_id = r.object_id * 10 and o.effective_scn <= r.scn) as object_id from rec r where op = 'UPDATE'"
+)
+def data_objects(spark, sf_dir):
+    seen = table(spark, sf_dir, "events").select("user_id", (2 * F.col("event_id")).alias("scn"))
+    own = seen.groupBy("user_id").agg(F.min("scn").alias("a"), F.max("scn").alias("b"))
+    objects = own.select((F.col("user_id") * 10).alias("data_object_id"), F.col("user_id").alias("object_id"), F.col("a").alias("effective_scn")).union(
+        own.where("user_id > 1").select((F.col("user_id") - 1) * 10, "user_id", "b")
+    )
+    changes = records(spark, sf_dir).where("op = 'UPDATE'").select("scn", (F.col("object_id") * 10).alias("data_object_id"))
+    return schemas.by_data_object(changes, objects).select("scn", "data_object_id", "object_id")
 
 
 @query("select c_nationkey % 5 as object_id, count(*) as n from customer group by 1", log=False)
@@ -286,14 +307,13 @@ def type_decode(spark, sf_dir):
     )
 
 
-@query("select doc_id, text as decoded from documents where lang = 'en'", log=False)
+@query("select doc_id, text as decoded from documents", log=False)
 def charset_decode(spark, sf_dir):
     @F.pandas_udf("binary")
     def encode(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else t.encode("gb18030"))
 
-    rows = table(spark, sf_dir, "documents").where("lang = 'en'")
-    return rows.select("doc_id", types.decoded_by_python(encode("text"), "ZHS32GB18030").alias("decoded"))
+    return table(spark, sf_dir, "documents").select("doc_id", types.decoded_by_python(encode("text"), "ZHS32GB18030").alias("decoded"))
 
 
 @query(

@@ -10,7 +10,7 @@ from tidemark import __main__ as cli
 from tidemark.plans.changelog import records
 from tidemark.sources.config import ConfigError, load
 from tidemark.sources.records import ChangeRecords, LogTail, MissingLog, read_messages, record_files
-from tidemark.streaming.queries import stream_reassembly, stream_recovery
+from tidemark.streaming.queries import stream_reassembly, stream_recovery, stream_rewind, stream_start_position
 from tidemark.streaming.sink import State, StateError, StateFile, backup, delivered, restore, rewind
 
 
@@ -86,6 +86,17 @@ def test_streams_give_the_batch_result(spark, query):
     assert got == sorted(map(tuple, committed(records(spark, SMALL)).select("commit_scn", "xid", "pos", "scn").collect()))
 
 
+@pytest.mark.parametrize(("query", "whole"), [(stream_start_position, 0), (stream_rewind, 1)])
+def test_streams_from_a_position(spark, query, whole):
+    from tidemark.operators.transactions import committed
+
+    log = records(spark, SMALL)
+    middle = max(r.scn for r in log.select("scn").collect()) // 2
+    rows = [tuple(r) for r in committed(log).select("commit_scn", "xid", "pos", "scn").collect()]
+    want = rows * whole + [r for r in rows if r[0] > middle]
+    assert sorted(map(tuple, query(spark, SMALL).select("commit_scn", "xid", "pos", "scn").collect())) == sorted(want)
+
+
 def test_capture_run_restart_and_rewind(spark, tmp_path):
     config = load(config_text(tmp_path, exclude=["C\\.O\\.HIDDEN"], output={"folder": str(tmp_path / "out"), "heartbeat": True}))
     log = tmp_path / "log"
@@ -105,14 +116,48 @@ def test_capture_run_restart_and_rewind(spark, tmp_path):
     assert cli.main(["rewind", str(path), "--scn", "5"]) == 0
     assert state.load().generation == 2
     before = sorted(p.name for p in (tmp_path / "out").iterdir())
-    assert cli.run(config, spark, until_idle=True) == 0  # again from the start, beside the old output
+    assert cli.run(config, spark, until_idle=True) == 0  # what committed after the target again, beside the old output
     assert set(before) < {p.name for p in (tmp_path / "out").iterdir()}
+    again = [json.loads(r.value) for r in delivered(spark, config.output.folder, state).where("batch like 'g0002%'").orderBy("batch", "part").collect()]
+    assert [(m["kind"], m["scn"]) for m in again if m["kind"] != "chkpt"] == [("begin", None), ("dml", 1), ("commit", None)]
+    names = sorted(p.name for p in (tmp_path / "out").rglob("*.jsonl"))
+    assert names == [f"changes-{i:06d}.jsonl" for i in range(1, len(names) + 1)]
     with pytest.raises(StateError, match="cannot rewind"):
         rewind(state, 99)
     assert cli.main(["restore", str(path), "--folder", str(tmp_path / "copy")]) == 0
     assert state.load().generation == 1
 
 
+def test_start_within_a_transaction_ddl_and_preflight(spark, tmp_path):
+    log = tmp_path / "log"
+    write_log(
+        log, 0,
+        [{"scn": 0, "xid": "o", "op": "INSERT"}, {"scn": 1, "xid": "a", "op": "BEGIN"}, {"scn": 1, "xid": "a", "op": "INSERT", "row_id": "AAA", "container": None}, {"scn": 2, "xid": "o", "op": "COMMIT"},
+         {"scn": 5, "xid": "a", "op": "DDL", "ddl_kind": "TRUNCATE", "ddl_text": "truncate table t", "container": None}, {"scn": 7, "xid": "a", "op": "COMMIT", "container": None}],
+    )
+    (tmp_path / "meta.json").write_text(json.dumps({"version": "19.3", "log_mode": "ARCHIVELOG", "supplemental_log": "YES", "force_logging": "YES", "paths_mapped": "YES", "files_readable": "YES", "privileges": "YES"}))
+    source = {"records": "/remote/log", "poll_interval_seconds": 0.2, "start_scn": 4, "identity": {"dbid": 1}, "database": "MAIN", "metadata": str(tmp_path / "meta.json")}
+    config = load(config_text(tmp_path, source=source, mappings={"/remote": str(tmp_path)}))
+    assert cli.run(config, spark, until_idle=True) == 0
+    state = StateFile(config.state)
+    lines = [json.loads(r.value) for r in delivered(spark, config.output.folder, state).orderBy("batch", "part").collect()]
+    assert [(m["kind"], m["scn"], m["db"]) for m in lines] == [("begin", None, "MAIN"), ("dml", 1, "MAIN"), ("ddl", 5, "MAIN"), ("commit", None, "MAIN")]
+    assert lines[1]["row_id"] == "AAA" and lines[2]["ddl_text"] == "truncate table t"
+    with pytest.raises(ValueError, match="lose changes"):
+        cli.run(load(config_text(tmp_path, source=source | {"start_scn": 99}, mappings={"/remote": str(tmp_path)})), spark, until_idle=True)
+    with pytest.raises(StateError, match="belongs to"):
+        cli.run(load(config_text(tmp_path, source=source | {"identity": {"dbid": 2}}, mappings={"/remote": str(tmp_path)})), spark, until_idle=True)
+    (tmp_path / "meta.json").write_text(json.dumps({"version": "19.3", "log_mode": "NOARCHIVELOG"}))
+    with pytest.raises(Exception, match="NOARCHIVELOG"):
+        cli.run(config, spark, until_idle=True)
+
+
+def test_patterns_are_those_of_the_jvm(spark, tmp_path):
+    assert load(config_text(tmp_path, include=[r"\p{Lu}+\.T"])).include
+    with pytest.raises(ConfigError):
+        load(config_text(tmp_path, include=["(?P<a>X)"]))
+
+
 def test_missing_log_stops_the_run_with_its_position(spark, tmp_path):
     config = load(config_text(tmp_path))
     log = tmp_path / "log"
@@ -133,6 +178,16 @@ def test_state(tmp_path):
     backup(str(tmp_path / "s"), str(tmp_path / "copy"))
     with pytest.raises(StateError, match="belongs to"):
         restore(str(tmp_path / "copy"), str(tmp_path / "s"), {"dbid": 2})
+    state.path.write_text(json.dumps({"version": 1, "identity": {"dbid": 1}, "safe_scn": 7, "generation": 2, "batches": {"1-0": 3, "1-1": 5, "2-0": 7}}))
+    new = state.load()
+    assert new.counted == {"1": 1, "2": 0} and new.version == 2 and new.migrations[0]["version"] == 2 and (tmp_path / "s/state.v1").exists()
+    assert state.load() == new
+    new.migrations[0]["checksum"] = "other"
+    state.save(new)
+    with pytest.raises(StateError, match="not the one that was applied"):
+        state.load()
+    with pytest.raises(StateError, match="mount"):
+        StateFile("hdfs://host/state")
     restore(str(tmp_path / "copy"), str(tmp_path / "s"), {"dbid": 1})
     state.save(State(version=99))
     with pytest.raises(StateError, match="newer"):

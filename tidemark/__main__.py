@@ -58,24 +58,35 @@ def run(config: Config, spark=None, until_idle: bool = False) -> int:
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
-    from .operators.scope import full_name, in_scope
+    from .operators.checks import preflight, require
+    from .operators.positions import start_position
+    from .operators.scope import full_name, in_scope, local_path
 
     log = logger(config)
     spark = spark or SparkSession.builder.appName("tidemark").getOrCreate()
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     spark.dataSource.register(ChangeRecords)
     state = StateFile(config.state)
-    now = state.load()
+    if config.source.metadata:
+        require(preflight(spark.read.json(config.source.metadata)))
+    now = state.check(config.source.identity)
+    if now.floor is None:  # a first run
+        now.floor = start_position(None, config.source.start_scn, 0) - 1
+    else:  # a stored position counts, and a later one would skip changes
+        start_position(max(now.safe_scn, now.floor + 1), config.source.start_scn, 0)
     if now.fingerprint and now.fingerprint != config.fingerprint():
         log.warning("the configuration has changed since the last run")
     now.fingerprint = config.fingerprint()
     state.save(now)
-    source = spark.readStream.format("change_records").option("path", config.source.records).option("timeoutSeconds", config.source.missing_file_timeout_seconds).load()
-    if config.source.start_scn is not None:
-        source = source.where(F.col("scn") >= config.source.start_scn)
+    source = spark.readStream.format("change_records").option("path", local_path(config.source.records, config.mappings)).option("timeoutSeconds", config.source.missing_file_timeout_seconds).load()
     wanted = F.col("op").isin("COMMIT", "ROLLBACK", "SAVEPOINT_RB") | in_scope(full_name(), config.include, config.exclude)
-    sink = OrderedSink(config.output.folder, state, max_file_bytes=config.output.max_file_bytes, heartbeat=config.output.heartbeat, status=f"{config.state}/status.json")
-    writer = reassembled(source.where(wanted)).writeStream.foreachBatch(sink).option("checkpointLocation", _checkpoint(config, now.generation))
+    output = config.output
+    sink = OrderedSink(
+        output.folder, state, config.source.identity, output.max_file_bytes, output.heartbeat, f"{config.state}/status.json", output.prefix, config.source.database
+    )
+    # a transaction that began before the start and commits after it comes whole
+    committed = reassembled(source.where(wanted)).where(F.col("commit_scn") > now.floor)
+    writer = committed.writeStream.foreachBatch(sink).option("checkpointLocation", _checkpoint(config, now.generation))
     query = writer.trigger(processingTime=f"{config.source.poll_interval_seconds} seconds").start()
     stopping: list[int] = []
     if not until_idle:
@@ -167,16 +178,29 @@ def main(argv: list[str] | None = None) -> int:
         case "status":
             print(json.dumps(status(config)))
         case "validate":
-            if not os.path.isdir(config.source.records):
-                print(f"{config.source.records} is no folder", file=sys.stderr)
+            from .operators.scope import local_path
+
+            folder = local_path(config.source.records, config.mappings)
+            if not os.path.isdir(folder) or not os.access(folder, os.R_OK):
+                print(f"{folder} is no folder that can be read", file=sys.stderr)
                 return 1
+            if config.source.metadata:
+                from pyspark.sql import SparkSession
+
+                from .operators.checks import PreflightError, preflight, require
+
+                try:
+                    require(preflight(SparkSession.builder.appName("tidemark").getOrCreate().read.json(config.source.metadata)))
+                except PreflightError as e:
+                    print(e, file=sys.stderr)
+                    return 1
             print("the configuration is valid")
         case "rewind":
             print(f"generation {rewind(StateFile(config.state), args.scn).generation}")
         case "backup":
             backup(config.state, args.folder)
         case "restore":
-            restore(args.folder, config.state, StateFile(args.folder).load().identity)
+            restore(args.folder, config.state, config.source.identity)
     return 0
 
 

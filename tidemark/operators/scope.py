@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.config import pattern_error
+
 #: Object kinds that cannot be captured.
 EXCLUDED_KINDS = ("TEMPORARY", "NESTED", "INTERNAL", "SYSTEM", "MVIEW LOG")
 
@@ -22,9 +23,10 @@ def database_name(container: str = "container", database: str = "database") -> C
 
 
 def one_pattern(patterns: Sequence[str]) -> str:
-    """A pattern that matches a whole name if any of ``patterns`` does. A bad pattern raises ``re.error``."""
+    """A pattern that matches a whole name if any of ``patterns`` does, in the dialect of Spark's JVM. A bad pattern raises ``ValueError``."""
     for p in patterns:
-        re.compile(p)
+        if why := pattern_error(p):
+            raise ValueError(f"bad pattern {p!r}: {why}")
     return "^(?:" + "|".join(f"(?:{p})" for p in patterns) + ")$"
 
 
@@ -60,6 +62,12 @@ def mapped_path(path: Column, mappings: Mapping[str, str]) -> Column:
     return out
 
 
+def local_path(path: str, mappings: Mapping[str, str]) -> str:
+    """One path by the same rule, itself if no prefix matches."""
+    prefix = max((s for s in mappings if path.startswith(s)), key=len, default=None)
+    return path if prefix is None else mappings[prefix] + path[len(prefix) :]
+
+
 def capturable(objects: DataFrame) -> DataFrame:
     """``objects`` (with ``kind``), failing at run time on a kind that cannot be captured."""
     bad = F.upper(F.col("kind")).isin(*EXCLUDED_KINDS)

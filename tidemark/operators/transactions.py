@@ -6,6 +6,8 @@ Records have at least ``container, xid, scn, op``; a transaction is keyed by con
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,19 +66,19 @@ def in_commit_order(records: DataFrame, width: int | None = None) -> DataFrame:
     return committed(records, dense_rank(_commits(records), "commit_scn", "commit_rank", width))
 
 
-def messages(changes: DataFrame) -> DataFrame:
-    """A begin, each change and a commit as rows of ``kind, commit_scn, container, xid, pos, op``.
+def messages(changes: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """A begin, each change and a commit as rows of ``kind, commit_scn, container, xid, pos, op`` and, for changes, ``carry``.
 
     ``kind`` of a change is ``ddl`` or ``dml``; ``pos`` is 0 for begin and one past the last change for commit.
     """
-    own = changes.select(F.when(F.col("op") == "DDL", "ddl").otherwise("dml").alias("kind"), "commit_scn", *KEY, "pos", "op")
+    own = changes.select(F.when(F.col("op") == "DDL", "ddl").otherwise("dml").alias("kind"), "commit_scn", *KEY, "pos", "op", *carry)
     ends = changes.groupBy(*KEY).agg(F.max("commit_scn").alias("commit_scn"), F.max("pos").alias("last"))
     frame = F.array(
         F.struct(F.lit("begin").alias("kind"), F.lit(0).cast("long").alias("pos")),
         F.struct(F.lit("commit").alias("kind"), (F.col("last") + 1).alias("pos")),
     )
     ends = ends.select("commit_scn", *KEY, F.explode(frame).alias("m")).select("m.kind", "commit_scn", *KEY, "m.pos", F.lit(None).cast("string").alias("op"))
-    return own.unionByName(ends)
+    return own.unionByName(ends, allowMissingColumns=True)
 
 
 def with_heartbeat(rows: DataFrame, position: DataFrame, on: bool) -> DataFrame:

@@ -8,6 +8,10 @@ import re
 from dataclasses import asdict, dataclass, field, fields
 from pathlib import PurePosixPath
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import PySparkException
+
 
 class ConfigError(ValueError):
     """A setting is unknown, missing or wrong."""
@@ -27,7 +31,10 @@ class Source:
     poll_interval_seconds: float = 10
     missing_file_timeout_seconds: float = 300
     start_scn: int | None = None
-    block_size: int = 8192
+    block_size: int = 8192  # of the logs that whatever decodes them reads
+    identity: dict = field(default_factory=dict)  # of the database: dbid, incarnation, resetlogs
+    database: str | None = None  # its name, for tables without a container
+    metadata: str | None = None  # a JSON record of what the preflight checks
 
 
 @dataclass(frozen=True)
@@ -49,6 +56,21 @@ class Config:
         return hashlib.sha256(json.dumps(shown, sort_keys=True).encode()).hexdigest()
 
 
+def pattern_error(pattern: str) -> str | None:
+    """What is wrong with a pattern, which Spark's JVM matches: asked there if a session runs, else only what is wrong in any dialect."""
+    if SparkContext._active_spark_context is not None:
+        try:
+            SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(pattern)
+        except (Py4JJavaError, PySparkException) as e:
+            return str(e)
+        return None
+    try:
+        re.compile(re.sub(r"\\[pPQEhHRXzZG](?:\{\w+\})?|(?<=[*+?}])\+", "", pattern))
+    except re.error as e:
+        return str(e)
+    return None
+
+
 BLOCK_SIZES = (2048, 4096, 8192, 16384, 32768)
 
 
@@ -84,10 +106,8 @@ def load(text: str) -> Config:
     if not config.include:
         raise ConfigError("include needs at least one pattern")
     for p in (*config.include, *config.exclude):
-        try:
-            re.compile(p)
-        except re.error as e:
-            raise ConfigError(f"bad pattern {p!r}: {e}") from e
+        if why := pattern_error(p):
+            raise ConfigError(f"bad pattern {p!r}: {why}")
     for path in (*config.mappings, *config.mappings.values(), config.state, config.output.folder):
         if ".." in PurePosixPath(path).parts:
             raise ConfigError(f"a path must not leave its folder: {path}")

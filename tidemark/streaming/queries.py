@@ -11,7 +11,7 @@ from ..plans.changelog import LOG_SQL, records
 from ..session import shared_folder
 from ..sources.records import SCHEMA
 from .reassembly import ROCKSDB, reassembled
-from .sink import OrderedSink, StateFile, delivered
+from .sink import OrderedSink, StateFile, delivered, local, rewind
 
 COLUMNS = "commit_scn, container, xid, pos, scn, op, owner, table_name, after"
 
@@ -25,12 +25,19 @@ def _log_files(spark: SparkSession, sf_dir: str, folder: str, files: int = 4) ->
         part.write.mode("append").json(folder)
 
 
-def _run(spark: SparkSession, sf_dir: str, fail_at: int | None = None) -> tuple[str, StateFile]:
-    """Runs the stream until its input is used up; with ``fail_at`` that batch fails after its write and is run again."""
-    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    local = at.removeprefix("file:")
-    _log_files(spark, sf_dir, f"{at}/log")
-    state = StateFile(f"{local}/state")
+def _run(spark: SparkSession, sf_dir: str, fail_at: int | None = None, after: int | None = None, at: str | None = None) -> tuple[str, StateFile]:
+    """Runs the stream until its input is used up; with ``fail_at`` that batch fails after its write and is run again.
+
+    Transactions that committed up to ``after`` are not delivered. ``at``: the folder of an earlier run to rewind to there.
+    """
+    again, at = at is not None, at or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    if local(at) is None:
+        raise ValueError("the streams keep their state record in spark.checkpoint.dir, which must be a mounted folder")
+    state = StateFile(f"{local(at)}/state")
+    if again:
+        rewind(state, after)
+    else:
+        _log_files(spark, sf_dir, f"{at}/log")
     sink = OrderedSink(f"{at}/out", state)
     failed: list[int] = []
 
@@ -46,7 +53,9 @@ def _run(spark: SparkSession, sf_dir: str, fail_at: int | None = None) -> tuple[
     try:
         while True:
             stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 4).json(f"{at}/log")
-            job = reassembled(stream).writeStream.foreachBatch(deliver).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+            changes = reassembled(stream)
+            changes = changes if after is None else changes.where(F.col("commit_scn") > after)
+            job = changes.writeStream.foreachBatch(deliver).option("checkpointLocation", f"{at}/checkpoint-{state.load().generation}").trigger(availableNow=True).start()
             try:
                 job.awaitTermination()
                 return f"{at}/out", state
@@ -61,7 +70,7 @@ def _run(spark: SparkSession, sf_dir: str, fail_at: int | None = None) -> tuple[
 def _lines(spark: SparkSession, out: tuple[str, StateFile]) -> DataFrame:
     schema = "kind string, commit_scn long, container string, xid string, pos long, op string, owner string, table_name string, scn long, after string"
     lines = delivered(spark, *out).select(F.from_json("value", schema).alias("m")).select("m.*")
-    return lines.where("kind = 'dml'").select(*COLUMNS.split(", "))
+    return lines.where("kind in ('dml', 'ddl')").select(*COLUMNS.split(", "))
 
 
 def stream_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,5 +81,23 @@ def stream_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, _run(spark, sf_dir, fail_at=1))
 
 
-QUERIES = {f.__name__: f for f in (stream_reassembly, stream_recovery)}
-ORACLE_SQL = dict.fromkeys(QUERIES, LOG_SQL + f"select {COLUMNS} from done")
+def _middle(spark: SparkSession, sf_dir: str) -> int:
+    return records(spark, sf_dir).agg(F.max("scn")).first()[0] // 2
+
+
+def stream_start_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the middle of the log on: transactions that began before and committed after come whole."""
+    return _lines(spark, _run(spark, sf_dir, after=_middle(spark, sf_dir)))
+
+
+def stream_rewind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole log, then a rewind to its middle: what committed after it comes again, beside the old output."""
+    out, _ = _run(spark, sf_dir)
+    return _lines(spark, _run(spark, sf_dir, after=_middle(spark, sf_dir), at=out.removesuffix("/out")))
+
+
+QUERIES = {f.__name__: f for f in (stream_reassembly, stream_recovery, stream_start_position, stream_rewind)}
+ORACLE_SQL = {"stream_reassembly": LOG_SQL + f"select {COLUMNS} from done", "stream_recovery": LOG_SQL + f"select {COLUMNS} from done"}
+_AFTER = f"select {COLUMNS} from done where commit_scn > (select max(scn) // 2 from rec)"
+ORACLE_SQL["stream_start_position"] = LOG_SQL + _AFTER
+ORACLE_SQL["stream_rewind"] = LOG_SQL + f"select {COLUMNS} from done union all {_AFTER}"

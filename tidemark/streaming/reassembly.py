@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-_CHANGE = ("scn long", "block_offset long", "op string", "owner string", "table_name string", "object_id long", "savepoint_scn long", "before string", "after string")
-_OUTPUT = ("container string", "xid string", "commit_scn long", "pos long", "scn long", "op string", "owner string", "table_name string", "object_id long", "before string", "after string")
+from ..operators.transactions import CHANGES
+
+_CHANGE = ("scn long", "block_offset long", "op string", "owner string", "table_name string", "object_id long", "row_id string", "savepoint_scn long", "before string", "after string", "ddl_kind string", "ddl_text string")
+_OUTPUT = ("container string", "xid string", "commit_scn long", "pos long", "scn long", "op string", "owner string", "table_name string", "object_id long", "row_id string", "before string", "after string", "ddl_kind string", "ddl_text string")
 
 
 def _struct(fields: tuple[str, ...]) -> StructType:
@@ -18,6 +20,7 @@ def _struct(fields: tuple[str, ...]) -> StructType:
     return StructType([StructField(f.split()[0], kinds[f.split()[1]]) for f in fields])
 
 
+KEPT = (*CHANGES, "SAVEPOINT_RB")
 CHANGE, OUTPUT = _struct(_CHANGE), _struct(_OUTPUT)
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -26,7 +29,8 @@ class Reassembly(StatefulProcessor):
     """Keeps a transaction's records until it ends; a commit emits its live changes, a rollback nothing.
 
     Each record is one entry of the list state, so a large transaction lies in the state store and
-    only its end brings it together. Nothing is ever evicted: open transactions are data.
+    only its end brings it together. Nothing is ever evicted: open transactions are data. Records
+    that are neither changes, savepoint rollbacks nor ends (such as a begin) are no part of it.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -39,7 +43,7 @@ class Reassembly(StatefulProcessor):
                 yield from self._live(key, r.scn)
             if r.op in ("COMMIT", "ROLLBACK"):
                 self.open.clear()
-            else:
+            elif r.op in KEPT:
                 self.open.appendValue(tuple(r[n] for n in self.names))
 
     def _live(self, key: tuple, commit_scn: int) -> Iterator[Row]:
@@ -53,10 +57,7 @@ class Reassembly(StatefulProcessor):
                 kept.pop()
         for pos, c in enumerate(kept, 1):
             v = dict(zip(self.names, c, strict=True))
-            yield Row(
-                container=key[0], xid=key[1], commit_scn=commit_scn, pos=pos, scn=v["scn"], op=v["op"], owner=v["owner"],
-                table_name=v["table_name"], object_id=v["object_id"], before=v["before"], after=v["after"],
-            )
+            yield Row(**{"container": key[0], "xid": key[1], "commit_scn": commit_scn, "pos": pos} | {n: v[n] for n in OUTPUT.names[4:]})
 
     def close(self) -> None:
         pass

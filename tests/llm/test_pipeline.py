@@ -22,10 +22,12 @@ def line_fails(line):
     upper, lower = len(regex.findall(r"\p{Lu}", line)), len(regex.findall(r"\p{Ll}", line))
     if ("!!" in line or "??" in line) and len(regex.split("[!?]{2,}", line)) > 3 and upper + lower >= 20 and upper * 100 > (upper + lower) * 70:
         return True
+    if len(line) >= 24 and not regex.search("[.,;:!?…。、，；：！？،؛؟।]", line) and len(regex.split(r"[\x20\x09-\x0D]+", line.strip(" "))) >= 12:
+        return True
     separators = len(regex.findall("[|»›•·]", line))
     if separators >= 3 and separators * 30 > solid - separators or len(line) <= 20 and line.lower().strip(" ") in quality_rules.NAVIGATION:
         return True
-    if len(line) <= 300 and any(regex.search(rf"\b{p}", line.lower()) for p in quality_rules.BOILERPLATE):
+    if len(line) <= 300 and any(regex.search(rf"\b{p}", line.lower(), regex.ASCII) for p in quality_rules.BOILERPLATE):
         return True
     return len(line) >= 24 and len(regex.sub(r"(?<!\S)(\S+)(?: \1){2,}(?!\S)", "", line)) * 2 < len(line)
 

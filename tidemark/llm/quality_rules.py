@@ -1,13 +1,17 @@
 """Line-first quality rules, in DataFrame functions only.
 
-Lines are judged first: a line fails as noise (its words carry symbols), as shouting, as
-navigation (a row of separated labels), as boilerplate (a fixed phrase) or as stutter (words said
-three times or more running). Failing lines are removed; a document that loses too much of its text is rejected, and so is one that fails the
+Lines are judged first: a line fails as noise (its words carry symbols), as shouting, as a list of
+words (twelve or more without any punctuation), as navigation (a row of separated labels), as
+boilerplate (a known phrase) or as stutter (words said three times or more running). A missing mark at
+a line's end alone is no fault: prose wrapped into lines has few. Failing lines are removed; a document that loses too much of its text is rejected, and so is one that fails the
 base rules on length and repetition. Everything stays within a row, so nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,10 +22,15 @@ BOILERPLATE = (
     "all rights reserved", "cookie policy", "accept cookies", "use of cookies", "privacy policy", "terms of service",
     "terms of use", "sign up for our newsletter", "subscribe to our newsletter", "click here to", "please enable javascript",
     "powered by wordpress", "lorem ipsum", "share on facebook", "share on twitter", "skip to content", "back to top",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "cookies akzeptieren", "zum newsletter anmelden", "zum seitenanfang",
+    "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "accepter les cookies", "inscrivez-vous à notre newsletter", "haut de page",
+    "todos los derechos reservados", "política de privacidad", "términos de uso", "aceptar cookies", "suscríbete a nuestro boletín", "volver arriba",
 )
 #: A line made of nothing but these labels is navigation.
-NAVIGATION = ("home", "about", "about us", "contact", "contact us", "login", "log in", "sign in", "sign up", "register", "menu", "search", "next", "previous", "read more", "share", "sitemap", "faq", "help")
+NAVIGATION = ("home", "about", "about us", "contact", "contact us", "login", "log in", "sign in", "sign up", "register", "menu", "search", "next", "previous", "read more", "share", "sitemap", "faq", "help", "startseite", "über uns", "kontakt", "anmelden", "suche", "impressum", "weiterlesen", "accueil", "à propos", "contactez-nous", "connexion", "rechercher", "lire la suite", "inicio", "sobre nosotros", "contacto", "iniciar sesión", "buscar", "leer más")
 SYMBOLS = r"[#*$%&|<>]"
+#: Marks that end or part sentences in various scripts.
+PUNCTUATION = r"[.,;:!?…。、，；：！？،؛؟।]"
 
 
 def _words(text: Column) -> Column:
@@ -67,10 +76,10 @@ def _repeat_words(words: Column, size: int = 8) -> Column:
     return F.when(F.size(words) <= size, F.lit(0)).otherwise(let(single, lambda h: windows(h, 1))).cast("long")
 
 
-def line_fails(line: Column) -> Column:
-    """True for a line that the noise, shouting, navigation, boilerplate or stutter rules remove.
+def line_fails(line: Column, boilerplate_phrases: Sequence[str] = BOILERPLATE, labels_alone: Sequence[str] = NAVIGATION) -> Column:
+    """True for a line that the noise, shouting, punctuation, navigation, boilerplate or stutter rules remove.
 
-    Each rule begins with a cheap test that most lines fail.
+    Each rule begins with a cheap test that most lines fail. The phrases are text in lower case.
     """
     chars = _count(line, f"[{SPACE}]+")
     symbols = _count(line, r"[^#*$%&|<>{}~^=\\]+")
@@ -78,16 +87,17 @@ def line_fails(line: Column) -> Column:
     noise = (F.length(line) >= 20) & line.rlike(r"[#*$%&|<>{}~^=\\]") & (symbols * 100 > chars * 12) & (chars >= 20)
     loud = line.contains("!!") | line.contains("??")
     shouting = loud & (F.size(F.split(line, "[!?]{2,}")) > 3) & (upper + lower >= 20) & (upper * 100 > (upper + lower) * 70)
+    listed = (F.length(line) >= 24) & ~line.rlike(PUNCTUATION) & (F.size(F.split(F.trim(line), f"[{SPACE}]+")) >= 12)
     separators = F.size(F.split(line, r" ?[|»›•·] ?")) - 1
     labels = line.rlike("[|»›•·]") & (separators >= 3) & (separators * 30 > chars - separators)
-    menu = labels | (F.length(line) <= 20) & F.trim(F.lower(line)).isin(*NAVIGATION)
-    boilerplate = (F.length(line) <= 300) & F.lower(line).rlike(r"\b(?:" + "|".join(BOILERPLATE) + ")")
+    menu = labels | (F.length(line) <= 20) & F.trim(F.lower(line)).isin(*labels_alone)
+    boilerplate = (F.length(line) <= 300) & F.lower(line).rlike(r"\b(?:" + "|".join(re.escape(p).replace("\\ ", " ") for p in boilerplate_phrases) + ")")
     unstuttered = F.regexp_replace(line, r"(?<!\S)(\S+)(?: \1){2,}(?!\S)", "")
     stutter = (F.length(line) >= 24) & (F.length(unstuttered) * 2 < F.length(line))
-    return noise | shouting | menu | boilerplate | stutter
+    return noise | shouting | listed | menu | boilerplate | stutter
 
 
-def judged(docs: DataFrame, text_col: str = "text", min_words: int = 20, max_repeat_pct: int = 30, max_lost_pct: int = 50) -> DataFrame:
+def judged(docs: DataFrame, text_col: str = "text", min_words: int = 20, max_repeat_pct: int = 30, max_lost_pct: int = 50, **phrases: Sequence[str]) -> DataFrame:
     """``docs`` and the columns ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, lost_chars, cleaned_text``; columns of ``docs`` with these names are replaced.
 
@@ -95,7 +105,8 @@ def judged(docs: DataFrame, text_col: str = "text", min_words: int = 20, max_rep
     repeated 8-word windows. ``kept``: not so, and lines with up to ``max_lost_pct`` per cent of
     the characters in words were removed. ``cleaned_text`` holds the other lines; a blank line
     stays, and a text that loses nothing stays as it is. A null text counts as empty: no words,
-    base failed, and its ``cleaned_text`` is null.
+    base failed, and its ``cleaned_text`` is null. Rows are judged each by itself, repeated ones alike; an
+    empty table gives an empty one. ``phrases``: the lists of ``line_fails``.
     """
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
 
@@ -110,7 +121,7 @@ def judged(docs: DataFrame, text_col: str = "text", min_words: int = 20, max_rep
             _count(text, r"[^#*$%&|<>]+").alias("n_symbols"),
             let(worded, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             repeat.alias("n_repeat_words"),
-            F.filter(lines, lambda line: ~line_fails(line)).alias("good_lines"),
+            F.filter(lines, lambda line: ~line_fails(line, **phrases)).alias("good_lines"),
         )
 
     rule = "rules of " + text_col

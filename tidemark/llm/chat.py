@@ -39,8 +39,9 @@ MAPPINGS = (
 
 def field_paths(v: Column) -> Column:
     """The nested field paths of a variant, as one sorted text: ``OBJECT<messages: ARRAY<...`` of the
-    schema without the types of its leaves, so that equal layouts have equal texts."""
-    leaf = r"\b(STRING|BIGINT|DOUBLE|BOOLEAN|VOID|DATE|TIMESTAMP|TIMESTAMP_NTZ|BINARY|FLOAT|DECIMAL\(\d+,\d+\))(?=[,>]|$)"
+    schema without the types of its leaves, so that equal layouts have equal texts. A leaf whose type
+    differs within a list is a leaf like any other."""
+    leaf = r"\b(STRING|BIGINT|DOUBLE|BOOLEAN|VOID|VARIANT|DATE|TIMESTAMP|TIMESTAMP_NTZ|BINARY|FLOAT|DECIMAL\(\d+,\d+\))(?=[,>]|$)"
     return F.regexp_replace(F.schema_of_variant(v), leaf, "_")
 
 

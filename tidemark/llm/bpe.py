@@ -54,6 +54,7 @@ class Bpe:
     def __init__(self, path: str, kept: int = 200_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self._only_known(spec)
         letters = byte_letters()
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         self.bytes_of = {i: bytes(map(letters.__getitem__, t)) for t, i in vocab.items()}
@@ -83,6 +84,18 @@ class Bpe:
         )
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
+    @staticmethod
+    def _only_known(spec: dict) -> None:
+        """Raises for a file with settings that this class does not carry out."""
+        before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        wrong = [k for k in ("normalizer",) if spec.get(k)]
+        wrong += [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+        if model.get("type", "BPE") != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or before.get("use_regex") is False:
+            wrong.append("pre_tokenizer")
+        wrong += [f"{k} of {t['content']}" for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip") if t.get(k)]
+        if wrong:
+            raise ValueError(f"the tokenizer's settings are not those of plain byte-level BPE: {', '.join(wrong)}")
+
     def _ending(self, data: bytes) -> int:
         """The longest token that ends ``data``."""
         return next(self.token_of[data[n:]] for n in range(len(data)) if data[n:] in self.token_of)

@@ -58,6 +58,7 @@ def test_chat_control_strings_are_escaped(spark):
         ('{"instruction":"do","input":"this","output":"done"}', "instruction", [("user", "do\n\nthis"), ("assistant", "done")]),
         ('{"instruction":"do","input":"","output":"done"}', "instruction", [("user", "do"), ("assistant", "done")]),
         ('{"question":"q","answer":"a"}', "question", [("user", "q"), ("assistant", "a")]),
+        ('{"messages":[{"role":"user","content":"a"},{"role":"assistant","content":5},{"role":"user","content":null},{"role":"x","content":true}]}', "messages", [("user", "a"), ("assistant", "5"), ("user", ""), ("x", "true")]),
         ('{"other":1}', None, None),
         ("no json", None, None),
         (None, None, None),
@@ -259,6 +260,37 @@ def test_quality_model(spark):
     assert quality_model.rate(odd, empty).count() == 5
 
 
+def test_quality_model_is_at_its_optimum():
+    """No step from the fitted parameters betters the penalised likelihood, written out plainly."""
+    import math
+
+    rng = random.Random(4)
+    rows, grades = [], []
+    for _ in range(240):
+        g = rng.randrange(3)
+        rows.append(np.array(sorted({b for b in range(6) if rng.random() < (0.7 if b % 3 == g else 0.3)}), dtype=np.int32))
+        grades.append(g)
+    model = quality_model.fit_sample(rows, np.array(grades), 3, least_z=1.0, rounds=3000)
+    assert list(model.thresholds) == sorted(model.thresholds) and len(model.bins) >= 2
+
+    def likelihood(weights, thresholds):
+        total = -0.5 * sum(w * w for w in weights)
+        for row, g in zip(rows, grades, strict=True):
+            score = sum(w for b, w in zip(model.bins, weights, strict=True) if b in row)
+            below = [1 / (1 + math.exp(score - t)) for t in thresholds]
+            total += math.log(([*below, 1.0])[g] - ([0.0, *below])[g])
+        return total
+
+    best = likelihood(model.weights, model.thresholds)
+    for i in range(len(model.bins) + 2):
+        for step in (-0.05, 0.05):
+            moved = np.concatenate((model.weights, model.thresholds))
+            moved[i] += step
+            assert likelihood(moved[: len(model.bins)], moved[len(model.bins) :]) < best + 1e-3
+    score = model.score("no such words")
+    assert np.allclose(model.tail(np.array([score]))[0], [1 / (1 + math.exp(t - score)) for t in model.thresholds])
+
+
 def test_queries_run(spark):
     for name, query in queries.QUERIES.items():
         rows = query(spark, SMALL)

@@ -59,9 +59,9 @@ def test_quality_rules_base_columns(spark, odd):
 def test_quality_rules_lines(spark):
     prose = "This line has plain words in it, and it ends as most of our sentences do."
     more = "Another one follows here with other words, so that nothing is said twice at all."
-    lines = [prose, "Home | About | News | Contact | Login", "Accept cookies to go on.", "THE!! GREAT!! SUMMER!! SALE!! IS!! ON!! NOW!!", "the&&& words%%% carry### signs*** here$$$", "go go go go go go go go go go go", "Plain again."]
+    lines = [prose, "Home | About | News | Contact | Login", "Accept cookies to go on.", "THE!! GREAT!! SUMMER!! SALE!! IS!! ON!! NOW!!", "the&&& words%%% carry### signs*** here$$$", "go go go go go go go go go go go", "Plain again.", "one two three four five six seven eight nine ten eleven twelve", "Alle Rechte vorbehalten 2020.", "a short line of words"]
     verdict = spark.createDataFrame([(x,) for x in lines], "line string").select(quality_rules.line_fails(F.col("line"))).collect()
-    assert [r[0] for r in verdict] == [False, True, True, True, True, True, False]
+    assert [r[0] for r in verdict] == [False, True, True, True, True, True, False, True, True, False]
     docs = spark.createDataFrame([(1, "\n".join([prose, lines[1], more]), "en", "s", 0), (2, "\n".join([lines[3], lines[4], lines[1], "Only few words remain of this one."]), "en", "s", 0)], DOCS)
     kept = quality_rules.kept_documents(docs).collect()
     assert [(r.doc_id, r.text, r.n_chars) for r in kept] == [(1, f"{prose}\n{more}", len(prose) + len(more) + 1)]
@@ -95,6 +95,15 @@ def test_bpe_equals_the_library(library):
         assert mine.decode(ids) == library.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_refuses_other_settings(tmp_path):
+    with open(queries.tokenizer_file(), encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, {"model": spec["model"] | {"ignore_merges": True}}):
+        (tmp_path / "t.json").write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError, match="plain byte-level"):
+            bpe.Bpe(str(tmp_path / "t.json"))
+
+
 def test_bpe_kept_pieces_are_bounded():
     small = bpe.Bpe(queries.tokenizer_file(), kept=50)
     whole = bpe.tokenizer(queries.tokenizer_file())
@@ -299,3 +308,42 @@ def test_language_id(spark, odd):
     assert [found[i] for i in (0, 1, 2)] == ["und"] * 3 and len(found) == len(ODD) + 1
     nothing = language_id.fit(docs.limit(0))
     assert {r.lang_pred for r in language_id.predict(odd, nothing).collect()} == {"und"}
+
+
+def test_language_mixture_against_plain_em():
+    import math
+
+    rng = np.random.default_rng(2)
+    shares = rng.dirichlet(np.full(1 << language_id.BIN_BITS, 0.5), 3) + 1e-9
+    model = language_id.Model(["a", "b", "c"], shares / shares.sum(axis=1, keepdims=True))
+    for text in ("some words of a text that is here", "x", "more and more of it " * 9, "äöü 中文 and so on"):
+        counts = {b: int(n) for b, n in enumerate(language_id.grams(text)) if n}
+        n = sum(counts.values())
+
+        def fit(langs, pi):
+            if len(langs) == 1:
+                return [1.0], sum(c * math.log(model.shares[langs[0], b]) for b, c in counts.items())
+            before = -math.inf
+            for _ in range(12):
+                mixed = {b: sum(p * model.shares[k, b] for p, k in zip(pi, langs, strict=True)) for b in counts}
+                now = sum(c * math.log(mixed[b]) for b, c in counts.items())
+                if now - before < 0.1:
+                    break
+                before = now
+                pi = [p * sum(c * model.shares[k, b] / mixed[b] for b, c in counts.items()) / n for p, k in zip(pi, langs, strict=True)]
+            return pi, before
+
+        alone = [sum(c * math.log(model.shares[k, b]) for b, c in counts.items()) for k in range(3)]
+        start = [math.exp((x - max(alone)) / n) for x in alone]
+        langs = [0, 1, 2]
+        pi, ll = fit(langs, [x / sum(start) for x in start])
+        while len(langs) > 1:
+            out = pi.index(min(pi))
+            rest = [p for i, p in enumerate(pi) if i != out]
+            fewer = [k for i, k in enumerate(langs) if i != out]
+            new_pi, new_ll = fit(fewer, [p / sum(rest) for p in rest])
+            if ll - new_ll > 4.0 * math.log(n):
+                break
+            langs, pi, ll = fewer, new_pi, new_ll
+        got = model.mixture(text)
+        assert set(got) == {"abc"[k] for k in langs} and all(abs(got["abc"[k]] - p) < 1e-6 for k, p in zip(langs, pi, strict=True))

@@ -12,7 +12,9 @@
    where more than ``HOT`` texts share it, neighbours in a few random orders. That joins most of a
    group; then every pair that still lies in different components is compared. Pairs within a
    component need no look, and of two texts in different ones at least one is outside of the
-   component that most texts of the shingle are in.
+   component that most texts of the shingle are in. Of the shingles that two similar sets share,
+   the first in order stands so early in both that what follows it can still be enough; pairs are
+   taken only from shingles that stand so.
 5. Prefixes alone rule most candidates out; the rest are verified on the whole sets. A group is a
    component of verified pairs.
 """
@@ -162,7 +164,7 @@ def _by_fingerprint(nodes: DataFrame) -> DataFrame:
 
 def _split(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """``rows`` of shingles whose nodes aren't of one component, with their ``root`` and that of ``most`` nodes."""
-    named = rows.join(roots, "node", "left").select("node", "n", "s", "c", F.coalesce("root", "node").alias("root"))
+    named = rows.join(roots, "node", "left").select("node", "n", "i", "s", "c", F.coalesce("root", "node").alias("root"))
     of_root = named.groupBy("s", "root").count()
     split = of_root.groupBy("s").agg(F.max(F.struct("count", "root"))["root"].alias("most"), F.count("*").alias("roots")).where("roots > 1").select("s", "most")
     return named.join(split, "s")
@@ -170,7 +172,7 @@ def _split(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _roots(own: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """``(node, root)`` of the nodes that are in a group of more than one."""
-    rows = nodes.select("node", "n", F.explode("prefix").alias("s"))
+    rows = nodes.select("node", "n", F.posexplode("prefix").alias("i", "s"))
     shared = scratch.store("shared", rows.withColumn("c", F.count("*").over(Window.partitionBy("s"))).where("c > 1"))
     # by size, so a node that fits no neighbour fits no other
     pairs = scratch.store("pairs", _neighbours(shared, "n").union(_by_fingerprint(nodes)).distinct())
@@ -181,8 +183,9 @@ def _roots(own: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     edges = edges.union(_verified(mixed.join(pairs, ["a", "b"], "left_anti"), own, nodes))
     apart = scratch.store("apart", _split(left.drop("root", "most"), components(edges)))
     scratch.drop("left")
-    others = apart.where("root != most").select("s", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"))
-    cross = apart.join(others, "s").where((F.col("root") != F.col("other_root")) & _fit("n", "m")).select(*_pair("node", "other")).distinct()
+    others = apart.where("root != most").select("s", F.col("node").alias("other"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("other_root"))
+    first = 9 * F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= 4 * (F.col("n") + F.col("m"))
+    cross = apart.join(others, "s").where((F.col("root") != F.col("other_root")) & _fit("n", "m") & first).select(*_pair("node", "other")).distinct()
     return components(edges.union(_verified(cross.join(pairs, ["a", "b"], "left_anti"), own, nodes)))
 
 

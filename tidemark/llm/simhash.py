@@ -222,10 +222,11 @@ def components(edges: DataFrame) -> DataFrame:
     while mark["n"]:
         both = now.union(now.select("b", "a")).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = _joined(both, low, ["u"], mark["n"]).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        large = large if mark["n"] < LIGHT else checkpointed(large)
+        few = mark["n"] < LIGHT
+        large = (both.join(low.drop("n"), "u") if few else _joined(both, low, ["u"], mark["n"])).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = large if few else checkpointed(large)
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = _joined(large, low, ["a"], mark["n"]).select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
+        small = (large.join(low.drop("n"), "a") if few else _joined(large, low, ["a"], mark["n"])).select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
         new = checkpointed(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a != b").distinct())
         found = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         now, done, mark = new, found == mark, found
@@ -234,7 +235,7 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-#: So few narrow rows are no load for a task, even if all have one key.
+#: So few edges are no load for a task, even if all have one node.
 LIGHT = 200_000
 
 
@@ -243,8 +244,6 @@ def _joined(rows: DataFrame, table: DataFrame, key: list[str], total: int) -> Da
 
     Keys with over a 2000th of ``total`` rows are few and joined by a broadcast, so no key is one task's.
     """
-    if total < LIGHT:
-        return rows.join(table.drop("n"), key)
     is_hot = F.col("n") * 2000 > total
     hot, rest = table.where(is_hot).drop("n"), table.where(~is_hot).drop("n")
     others = rows.join(F.broadcast(hot.select(*key)), key, "left_anti")

@@ -4,7 +4,9 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
+import numpy as np
 from conftest import SMALL
+from tidemark.llm import near_copies
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -71,3 +73,16 @@ def test_documents(spark):
     rows = spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text").collect()
     texts = {r.doc_id: r.text or "" for r in rows}
     assert kept(spark, texts) == brute_kept(texts)
+
+
+def test_bitmaps_rule_no_similar_pair_out():
+    """Bits that differ are never more than shingles that do, folded or not."""
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 63, 64, 65, 100, 500):
+        whole = rng.integers(-(2**63), 2**63 - 1, n)
+        for other in (whole[: max(1, n * 4 // 5)], np.concatenate((whole[n // 10 :], rng.integers(0, 2**62, n // 10)))):
+            a, b = (near_copies.parity(np.unique(s)) for s in (whole, other))
+            words = min(len(a), len(b))
+            a, b = (p if len(p) == words else p[:words] ^ p[words:] for p in (a, b))
+            assert np.bitwise_count((a ^ b).view(np.uint64)).sum() <= len(np.setxor1d(whole, other))
+    assert near_copies.parity(np.empty(0, dtype=np.int64)).tolist() == [0]

@@ -15,8 +15,9 @@
    component that most texts of the shingle are in. Of the shingles that two similar sets share,
    the first in order stands so early in both that what follows it can still be enough; pairs are
    taken only from shingles that stand so.
-5. Prefixes alone rule most candidates out; the rest are verified on the whole sets. A group is a
-   component of verified pairs.
+5. A bitmap of each set, a bit a shingle at most, holds the parity of how many shingles fall on a
+   bit. Two sets differ by as many shingles as their bitmaps by bits, or more: that rules most
+   candidates out. The rest are verified on the whole sets. A group is a component of verified pairs.
 """
 
 from __future__ import annotations
@@ -48,6 +49,16 @@ def _node(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 5)).astype(np.int64))
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """The parity bitmap of a set of shingles, as longs: a power of two of bits, 64 or as many as shingles at least.
+
+    Half as many bits result from the XOR of its halves.
+    """
+    bits = max(64, 1 << (len(s) - 1).bit_length()) if len(s) else 64
+    odd = np.bincount(s & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
 def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = docs[text_col].cast("string")
     return docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
@@ -73,15 +84,12 @@ def _frequent(own: DataFrame) -> np.ndarray:
 
 
 def _nodes(own: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``(node, best, n, fp, often, last, prefix)``.
-
-    ``best`` is the node's least ``(no_id, id, h)``, ``n`` its set's size, ``fp`` its fingerprint. The
-    prefix's last shingle is the ``last`` in order, of the frequent ones if ``often``.
-    """
+    """``(node, best, n, fp, parity, prefix)``; ``best`` is the node's least ``(no_id, id, h)``, ``n`` its
+    set's size, ``fp`` its fingerprint."""
     by_value = np.argsort(frequent)
     known = frequent[by_value]
-    names = ["id", "h", "node", "n", "fp", "often", "last", "prefix"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64())]
+    names = ["id", "h", "node", "n", "fp", "parity", "prefix"]
+    kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -95,14 +103,12 @@ def _nodes(own: DataFrame, frequent: np.ndarray) -> DataFrame:
                 places = np.sort(by_value[at[often]])
                 rare = s[~often]
                 prefix = np.concatenate((rare, frequent[places]))[: len(s) - -(-4 * len(s) // 5) + 1]
-                is_often = len(prefix) > len(rare)
-                last = int(places[len(prefix) - len(rare) - 1] if is_often else prefix[-1]) if len(prefix) else None
                 fp = int(np.uint64(simhash_of(s.view("<u8"))).astype(np.int64))
-                rows.append((i, h, _node(s), len(s), fp, is_often, last, prefix))
+                rows.append((i, h, _node(s), len(s), fp, parity(s), prefix))
             columns = zip(*rows, strict=True) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    found = own.mapInArrow(run, "id long, h long, node long, n long, fp long, often boolean, last long, prefix array<long>")
+    found = own.mapInArrow(run, "id long, h long, node long, n long, fp long, parity array<long>, prefix array<long>")
     best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h")).alias("best")
     return found.groupBy("node").agg(best, *[F.first(c).alias(c) for c in names[3:]])
 
@@ -117,15 +123,16 @@ def _pair(a: str, b: str) -> list[Column]:
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs that the prefixes do not rule out.
+    """Pairs that sizes and bitmaps do not rule out; sizes that fit have bitmaps of one length or of double that."""
+    left, right = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}")) for x in "ab")
+    words = F.least(F.size("pa"), F.size("pb"))
 
-    Whichever prefix ends first in the order: the other set has none of its shingles beyond its own
-    prefix, so they share what the prefixes share and at most the rest of that set.
-    """
-    left, right = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.struct("often", "last").alias(f"l{x}"), F.col("prefix").alias(f"p{x}")) for x in "ab")
-    rest = F.when(F.col("la") <= F.col("lb"), F.col("na") - F.size("pa")).otherwise(F.col("nb") - F.size("pb"))
-    common = F.size(F.array_intersect("pa", "pb")) + rest
-    return pairs.join(left, "a").join(right, "b").where(9 * common >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
+    def folded(p: str) -> Column:
+        halves = F.zip_with(F.slice(p, 1, words), F.slice(p, words + 1, words), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(p) > words, halves).otherwise(F.col(p))
+
+    apart = F.aggregate(F.zip_with(folded("pa"), folded("pb"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
+    return pairs.join(left, "a").join(right, "b").where(_fit("na", "nb") & (9 * apart <= F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def _verified(pairs: DataFrame, own: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,8 @@ SIZE, HOT, ORDERS = 5, 16, 4
 SAMPLE, OFTEN, MOST = 5_000, 4, 50_000
 #: So many texts to verify, 16 bytes each, are named to all tasks; of more, the texts are shuffled.
 NAMED = 1_000_000
+#: So many shingles, 8 bytes each, or so many rows make a batch that goes back to Spark; a text is never cut.
+BATCH, BATCH_ROWS = 1 << 17, 4_096
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -64,13 +66,30 @@ def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
+def _batched(rows: Iterable[tuple], kinds: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Record batches of ``rows``, whose last value is an array; a batch ends when these hold ``BATCH`` values."""
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
+    held, n = [], 0
+    for row in rows:
+        held.append(row)
+        n += len(row[-1])
+        if n >= BATCH or len(held) >= BATCH_ROWS:
+            yield batch()
+            held, n = [], 0
+    if held:
+        yield batch()
+
+
 def _sets(own: DataFrame) -> DataFrame:
     """``(node, shingles)`` of each row."""
+    kinds = {"node": pa.int64(), "shingles": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingles(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+        sets = (shingles(t.as_py()) for b in batches for t in b.column("text"))
+        yield from _batched(((_node(s), s) for s in sets), kinds)
 
     return own.mapInArrow(run, "node long, shingles array<long>")
 
@@ -89,24 +108,22 @@ def _nodes(own: DataFrame, frequent: np.ndarray) -> DataFrame:
     by_value = np.argsort(frequent)
     known = frequent[by_value]
     names = ["id", "h", "node", "n", "fp", "parity", "prefix"]
-    kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2
+    kinds = dict(zip(names, [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2, strict=True))
+
+    def row(i: int | None, h: int, text: str | None) -> tuple:
+        s = shingles(text)
+        at = np.searchsorted(known, s)
+        often = np.zeros(len(s), dtype=bool)
+        inside = at < len(known)
+        often[inside] = known[at[inside]] == s[inside]
+        places = np.sort(by_value[at[often]])
+        prefix = np.concatenate((s[~often], frequent[places]))[: len(s) - -(-4 * len(s) // 5) + 1]
+        fp = int(np.uint64(simhash_of(s.view("<u8"))).astype(np.int64))
+        return i, h, _node(s), len(s), fp, parity(s), prefix.copy()  # a slice would hold the whole set
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for i, h, t in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
-                s = shingles(t)
-                at = np.searchsorted(known, s)
-                often = np.zeros(len(s), dtype=bool)
-                inside = at < len(known)
-                often[inside] = known[at[inside]] == s[inside]
-                places = np.sort(by_value[at[often]])
-                rare = s[~often]
-                prefix = np.concatenate((rare, frequent[places]))[: len(s) - -(-4 * len(s) // 5) + 1]
-                fp = int(np.uint64(simhash_of(s.view("<u8"))).astype(np.int64))
-                rows.append((i, h, _node(s), len(s), fp, parity(s), prefix))
-            columns = zip(*rows, strict=True) if rows else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        rows = (row(*(x.as_py() for x in values)) for b in batches for values in zip(*b.columns, strict=True))
+        yield from _batched(rows, kinds)
 
     found = own.mapInArrow(run, "id long, h long, node long, n long, fp long, parity array<long>, prefix array<long>")
     best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h")).alias("best")
